@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import packing, splitting, tokens
-from memloom.session import table
+from memloom.llm import neardup, packing, splitting, tokens
+from memloom.session import table, written
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
+#: Problem 3: three-word shingles, a similarity of 0.6, texts of 40 words or more.
+P3 = {"threshold": 0.6, "width": 3, "min_words": 40}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_duplicates(_items(spark, d), **P3)
+    return neardup.expanded_pairs(links, members)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per text that takes part: its class of equal sets, its number of linked classes, its group."""
+    links, members = neardup.near_duplicates(_items(spark, d), **P3)
+    links = written(links, "links")
+    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    groups = neardup.components(links).withColumnRenamed("id", "class_id")
+    return members.join(degree, "class_id", "left").join(groups, "class_id", "left").select(
+        "item_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("group_id", "class_id").alias("group_id"),
+    )
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -49,7 +70,7 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_packing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p6_ids, p7_packing)}
 
 ORACLE = {
     "p1_found": """
