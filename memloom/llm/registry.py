@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import neardup, packing, splitting, tokens
+from memloom.llm import neardup, packing, splitting, tokens, vectors
 from memloom.session import table, written
 
 
@@ -52,6 +52,36 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Problem 5: five neighbours, 64 numbers, pairs of cosine 0.9 or more.
+P5_K, P5_DIM, P5_COSINE = 5, 64, 0.9
+#: Lists a whole-range search probes.
+SEARCH_LISTS = 64
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of active entities in both spaces as (space, id, v)."""
+    active = table(spark, d, "entities").where("status = 'active'")
+    return active.select("entity_id", F.explode(F.array(
+        F.struct(F.lit("vector").alias("space"), F.col("vector").alias("v")),
+        F.struct(F.lit("gnn_vector").alias("space"), F.col("gnn_vector").alias("v")),
+    )).alias("x")).select("x.space", F.col("entity_id").alias("id"), "x.v")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.nearest_entities(_vectors(spark, d), P5_DIM, P5_K, P5_COSINE)
+    return near.select(
+        "space", F.least("id", "other").alias("entity_a"), F.greatest("id", "other").alias("entity_b")
+    ).distinct()
+
+
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every entity whose id, read as a number, is divisible by 100, against all, whatever the cosine:
+    background neighbours are spread, so these queries probe many lists."""
+    asks = F.pmod(F.conv(F.substring("id", 50, 15), 16, 10).cast("long"), F.lit(100)) == 0
+    near = vectors.nearest_entities(_vectors(spark, d), P5_DIM, P5_K, asking_ids=asks, probe=SEARCH_LISTS, probe_ratio=2.0)
+    return near.select("space", "id", "other", F.round("s", 4).alias("cosine"), "rank")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -70,9 +100,23 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p6_ids, p7_packing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p5_found, p5_search, p6_ids, p7_packing)}
+
+#: Brute force over all pairs; active entities with a usable vector, the five of greatest cosine, at least 0.9.
+_P5_SPACE = """
+    SELECT '{c}' AS space, a.entity_id AS x, b.entity_id AS y
+    FROM {c}_e a JOIN {c}_e b ON a.entity_id <> b.entity_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+    QUALIFY row_number() OVER (PARTITION BY a.entity_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.entity_id) <= 5"""
+_P5_ROWS = """{c}_e AS MATERIALIZED (
+    SELECT entity_id, any_value({c}) AS v FROM entities
+    WHERE status = 'active' AND entity_id IS NOT NULL AND {c} IS NOT NULL AND len({c}) = 64
+      AND len(list_filter({c}, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter({c}, lambda x: x <> 0)) > 0
+    GROUP BY entity_id)"""
 
 ORACLE = {
+    "p5_found": "WITH " + ", ".join(_P5_ROWS.format(c=c) for c in ("vector", "gnn_vector"))
+    + " SELECT DISTINCT space, least(x, y) AS entity_a, greatest(x, y) AS entity_b FROM ("
+    + " UNION ALL ".join("(" + _P5_SPACE.format(c=c) + ")" for c in ("vector", "gnn_vector")) + ")",
     "p1_found": """
         WITH i AS (SELECT 'direct_job' AS origin, job_id AS item_id, text FROM direct_jobs
                    UNION ALL SELECT 'ingest_record', record_id, content FROM ingest_records)
