@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Items per group (expected) and bins open at once.
 GROUP_ITEMS, OPEN_BINS = 20_000, 256
+#: Kinds of container in one call, at most; the table is fixed and read by the driver.
+MAX_CONTAINERS = 64
 
 
 def best_fit(sizes: Iterable[int], capacity: int, open_bins: int = OPEN_BINS) -> list[int]:
@@ -77,14 +79,17 @@ def pack(items: DataFrame, containers: DataFrame, n_items: int, group_items: int
     the number of groups. Items of no tokens take a place of size 0; null sizes count as 0; repeated ids are packed as
     often as they come; an item above the capacity is cut at multiples of it, its last piece packed like any other.
     """
-    from memloom.session import small
-
     groups = max(1, math.ceil(n_items / group_items))
     held = items.select(
         F.col("item_id").cast("long").alias("item_id"), F.coalesce("n_tokens", F.lit(0)).cast("int").alias("n_tokens"),
         F.pmod(F.xxhash64("item_id", F.lit(7)), F.lit(groups)).cast("int").alias("grp"),
     )
-    sized = small(containers.select("container", F.col("capacity_tokens").alias("capacity")).where("capacity > 0"))
-    return held.join(sized).groupBy("container", "grp").applyInPandas(
+    boxes = [tuple(r) for r in containers.select("container", "capacity_tokens").where("capacity_tokens > 0").limit(MAX_CONTAINERS + 1).collect()]
+    if len(boxes) > MAX_CONTAINERS:
+        raise ValueError(f"more than {MAX_CONTAINERS} kinds of container")
+    if not boxes:
+        boxes, held = [(None, 1)], held.limit(0)
+    kinds = F.array(*[F.struct(F.lit(c).cast("string").alias("container"), F.lit(n).alias("capacity")) for c, n in boxes])
+    return held.select("item_id", "n_tokens", "grp", F.inline(kinds)).groupBy("container", "grp").applyInPandas(
         _pack_group, "container string, grp int, bin int, item_id bigint, tok_start int, n_tokens int"
     )

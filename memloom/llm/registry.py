@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import neardup, packing, splitting, tokens, vectors
+from memloom.llm import junkpages, neardup, packing, splitting, tokens, vectors
 from memloom.session import table, written
 
 
@@ -100,7 +100,25 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p5_found, p5_search, p6_ids, p7_packing)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return junkpages.junk_pages(table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Junk shares by language and source, and how reviews agree."""
+    docs = table(spark, d, "documents")
+    shares = junkpages.junk_shares(docs).withColumn("junk", F.col("junk_share") > junkpages.SHARE)
+    said = table(spark, d, "page_reviews").where("verdict in ('spam', 'ok')").groupBy("doc_id").agg(
+        F.sum(F.when(F.col("verdict") == "spam", 1).otherwise(-1)).alias("votes")
+    )
+    return docs.select("doc_id", "lang").join(shares, "doc_id").join(said, "doc_id", "left").groupBy("lang").agg(
+        F.count("*").alias("n_docs"), F.sum(F.col("junk").cast("int")).alias("n_junk"),
+        F.sum(F.when(F.col("votes") != 0, 1).otherwise(0)).alias("n_reviewed"),
+        F.sum(F.when((F.col("votes") > 0) == F.col("junk"), 1).otherwise(0)).alias("n_agreed"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p5_found, p5_search, p6_ids, p7_packing, p8_found, p8_report)}
 
 #: Brute force over all pairs; active entities with a usable vector, the five of greatest cosine, at least 0.9.
 _P5_SPACE = """

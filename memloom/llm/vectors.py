@@ -26,7 +26,7 @@ from memloom.session import written
 #: Vectors the centroids are fitted on, at most; rows a list should hold; centroids at most; rows scored at once.
 SAMPLE, LIST_TARGET, MAX_CENTROIDS, LIST_ROWS = 32_768, 256, 4096, 2048
 #: Lists a vector is stored in and a query probes, at most, and the distance ratios that prune them.
-STORE_LISTS, PROBE_LISTS, STORE_RATIO, PROBE_RATIO = 4, 4, 1.1, 1.1
+STORE_LISTS, PROBE_LISTS, STORE_RATIO, PROBE_RATIO = 3, 3, 1.1, 1.1
 _DEGREE, _BALL = 16, 96
 
 
@@ -68,9 +68,14 @@ class CentroidGraph:
             s = centroids[i : i + 1024] @ centroids.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
             near[i : i + 1024] = np.argpartition(-s, max(deg - 1, 0), axis=1)[:, :deg] if deg else 0
-        self.near = near
-        step = max(1, int(np.sqrt(n) / 2))
+        step = max(1, int(np.sqrt(n) / 4))
         self.pivots = np.arange(0, n, step)
+        # neighbourhood holds both ways, or a centroid nobody is nearest to could not be reached
+        both = [set(row) for row in near.tolist()]
+        for u, row in enumerate(near.tolist()):
+            for v in row:
+                both[v].add(u)
+        self.links = [np.fromiter(x, dtype=np.int64, count=len(x)) for x in both]
         # each pivot's ball: graph neighbours, breadth first
         self.balls = []
         for p in self.pivots:
@@ -79,7 +84,7 @@ class CentroidGraph:
             while frontier and len(seen) < _BALL:
                 nxt = []
                 for u in frontier:
-                    for v in near[u].tolist():
+                    for v in self.links[u].tolist():
                         if v not in known:
                             known.add(v)
                             nxt.append(v)
@@ -92,14 +97,17 @@ class CentroidGraph:
         n = len(self.c)
         p = min(p, n)
         ids, sims = np.full((len(x), p), -1, dtype=np.int64), np.full((len(x), p), -2.0, dtype=np.float32)
-        entry = (x @ self.c[self.pivots].T).argmax(1)
-        for e in np.unique(entry):
-            rows = np.flatnonzero(entry == e)
-            ball = self.balls[e]
-            for _ in range(3):  # move on to the neighbourhoods of the best centroids found
+        entry_sims = x @ self.c[self.pivots].T
+        entry = entry_sims.argmax(1)
+        entry_sims[np.arange(len(x)), entry] = -2
+        pair = entry * len(self.pivots) + entry_sims.argmax(1)
+        for e in np.unique(pair):
+            rows = np.flatnonzero(pair == e)
+            ball = np.union1d(self.balls[e // len(self.pivots)], self.balls[e % len(self.pivots)])
+            for _ in range(4):  # move on to the neighbourhoods of the best centroids found
                 s = x[rows] @ self.c[ball].T
                 best = np.unique(ball[s.argmax(1)])
-                more = np.setdiff1d(self.near[best].ravel(), ball)
+                more = np.setdiff1d(np.concatenate([self.links[u] for u in best.tolist()]), ball)
                 if not len(more):
                     break
                 ball = np.concatenate([ball, more])
