@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.session import written
+
 SCORE, DEADLINE = 2, 3
 
 
@@ -62,7 +64,11 @@ def committed_watermark(feed: DataFrame, seq: str = "arrival_seq") -> DataFrame:
     stop = (
         seqs.join(seqs.select((F.col("s") - 1).alias("s")), "s", "left_anti").agg(F.min("s").alias("watermark"))
     )
-    return span.crossJoin(stop)  # one row each
+    none = F.lit(None).cast("long")
+    rows = span.withColumn("watermark", none).unionByName(
+        stop.select(none.alias("first_seq"), none.alias("last_seq"), F.lit(0).cast("long").alias("distinct_seqs"), "watermark")
+    )
+    return rows.agg(*[F.max(c).alias(c) for c in ("first_seq", "last_seq", "distinct_seqs", "watermark")])
 
 
 def committed_changes(feed: DataFrame, changes: DataFrame, closed: bool) -> DataFrame:
@@ -72,13 +78,12 @@ def committed_changes(feed: DataFrame, changes: DataFrame, closed: bool) -> Data
     its first arrival; should repeats disagree, a delete wins over a value and then the greater value bytes, so the
     result doesn't depend on arrival order.
     """
-    once = changes.groupBy("object_id", "target", "lamport", "producer").agg(
+    once = written(changes.groupBy("object_id", "target", "lamport", "producer").agg(
         F.min("arrival_seq").alias("seq"),
         F.max(F.struct("is_delete", "lww_value", "lww_double", "lww_ts")).alias("v"),
-    )
+    ), "changes")
     txns = once.groupBy("lamport", "producer").agg(F.max("seq").alias("commit_seq"), F.count("*").alias("n_changes"))
-    mark = committed_watermark(feed)
-    mark = mark.select(F.col("last_seq" if closed else "watermark").alias("watermark"))
+    mark = feed.agg(F.max("arrival_seq").alias("watermark")) if closed else committed_watermark(feed).select("watermark")
     visible = txns.join(F.broadcast(mark), F.col("commit_seq") <= F.col("watermark"))  # mark is one row
     t = visible.select(F.col("lamport").alias("t_l"), F.col("producer").alias("t_p"), "commit_seq", "n_changes")
     return once.join(t, (F.col("lamport") == F.col("t_l")) & F.col("producer").eqNullSafe(F.col("t_p"))).select(

@@ -16,7 +16,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_state(spark: SparkSession, d: str) -> DataFrame:
-    return changefeed.replay(table(spark, d, "pending_deltas"), closed=True).select(
+    """The state exposed at the contiguous committed watermark, the feed being open still."""
+    return changefeed.replay(table(spark, d, "pending_deltas")).select(
         "object_id", "target", "lamport", "producer", F.round("lww_double", 6).alias("lww_double"),
         F.unix_micros("lww_ts").alias("lww_ts_us"),
     )
@@ -45,17 +46,26 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_state, p2_watermark, p4_found, p
 
 _P2 = r"""
 WITH c AS (
-  SELECT object_id, target, lamport, producer, lower(trim(op, E' \t\n\r\x0b\x0c')) AS o, lww_value, lww_double, lww_ts
+  SELECT object_id, target, lamport, producer, lower(trim(op, E' \t\n\r\x0b\x0c')) AS o, lww_value, lww_double, lww_ts, arrival_seq
   FROM pending_deltas WHERE target IN (2, 3) AND lamport IS NOT NULL),
 e AS (
   SELECT * FROM c WHERE o = 'delete' OR (o IN ('insert', 'update') AND coalesce(
     (target = 2 AND octet_length(lww_value) = 8)
     OR (target = 3 AND octet_length(lww_value) = 1 AND hex(lww_value) = '00')
-    OR (target = 3 AND octet_length(lww_value) IN (7, 11) AND hex(lww_value)[1:2] = '01'), false))),
-r AS (
+    OR (target = 3 AND octet_length(lww_value) IN (7, 11) AND hex(lww_value)[1:2] = '01'), false)))
+"""
+_P2_ALL = """, r AS (
   SELECT *, row_number() OVER (PARTITION BY object_id, target ORDER BY lamport DESC, producer DESC NULLS LAST,
     (o = 'delete') DESC, lww_value DESC NULLS LAST) AS rn FROM e)
 """
+_P2_MARK = """, s AS (SELECT DISTINCT arrival_seq AS s FROM pending_deltas WHERE arrival_seq IS NOT NULL),
+w AS (SELECT min(a.s) AS mark FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.s = a.s + 1)),
+f AS (SELECT *, min(arrival_seq) OVER (PARTITION BY object_id, target, lamport, producer) AS seq FROM e),
+x AS (SELECT *, max(seq) OVER (PARTITION BY lamport, producer) AS commit_seq FROM f),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY object_id, target ORDER BY lamport DESC, producer DESC NULLS LAST,
+    (o = 'delete') DESC, lww_value DESC NULLS LAST) AS rn FROM x WHERE commit_seq <= (SELECT mark FROM w))
+"""
 
 _P4 = r"""
 WITH j AS (
@@ -82,8 +92,8 @@ v AS (
 """
 
 ORACLE = {
-    "p2_found": _P2 + "SELECT object_id, target, lamport, producer FROM r WHERE rn = 1 AND o <> 'delete'",
-    "p2_state": _P2 + "SELECT object_id, target, lamport, producer, round(lww_double, 6) AS lww_double, "
+    "p2_found": _P2 + _P2_ALL + "SELECT object_id, target, lamport, producer FROM r WHERE rn = 1 AND o <> 'delete'",
+    "p2_state": _P2 + _P2_MARK + "SELECT object_id, target, lamport, producer, round(lww_double, 6) AS lww_double, "
     "epoch_us(lww_ts) AS lww_ts_us FROM r WHERE rn = 1 AND o <> 'delete'",
     "p2_watermark": "WITH s AS (SELECT DISTINCT arrival_seq AS s FROM pending_deltas WHERE arrival_seq IS NOT NULL) "
     "SELECT min(s) AS first_seq, max(s) AS last_seq, count(*) AS distinct_seqs, "
