@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from memloom.plans import core_problems
+from memloom.plans import core_problems, scalar_queries, search_queries
 
-MODULES = [core_problems]
-FLAGSHIP = "p4_found"
+MODULES = [core_problems, scalar_queries, search_queries]
+FLAGSHIP = "retrieve_hybrid"
 
 
 def queries() -> dict:
