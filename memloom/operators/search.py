@@ -130,12 +130,12 @@ def _slice_topk(asks: pd.DataFrame, store: pd.DataFrame, k: int, least: float) -
     if asks.empty or store.empty:
         return none
     out = []
-    m = np.stack(store["vector"].to_numpy()).astype(np.float64)
+    m = np.stack(store["sv"].to_numpy()).astype(np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     ids = store["entity_id"].to_numpy()
     for i in range(0, len(asks), 1024):
         part = asks.iloc[i : i + 1024]
-        q = np.stack(part["vector"].to_numpy()).astype(np.float64)
+        q = np.stack(part["qv"].to_numpy()).astype(np.float64)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         s = np.round(q @ m.T, 6)
         s[part["query_id"].to_numpy()[:, None] == ids[None, :]] = -2
@@ -153,8 +153,8 @@ def nearest_other(asking: DataFrame, store: DataFrame, dim: int, k: int, least:
     the store once and the query set ``slices`` times; no pair leaves a task but the best.
     """
     ok = (F.size("vector") == dim) & vec.usable(F.col("vector"))
-    s = store.where(ok).select("entity_id", "vector", F.pmod(F.xxhash64("entity_id"), F.lit(slices)).cast("int").alias("slice"))
-    a = asking.where(ok).select("query_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    s = store.where(ok).select("entity_id", F.col("vector").alias("sv"), F.pmod(F.xxhash64("entity_id"), F.lit(slices)).cast("int").alias("slice"))
+    a = asking.where(ok).select("query_id", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     met = a.groupBy("slice").cogroup(s.groupBy("slice")).applyInPandas(
         lambda x, y: _slice_topk(x, y, k, least), "query_id string, entity_id string, cosine double"
     )
