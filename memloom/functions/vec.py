@@ -126,9 +126,9 @@ def _score(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: list,
             continue
         flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
         s = (flat / np.linalg.norm(flat, axis=1, keepdims=True)) @ q.T
-        if k and len(s) > k:  # only what may be among the best k of this batch; ties at the border stay
+        if k and len(s) > k:  # only what may be among the best k of this batch
             border = np.partition(s, len(s) - k, axis=0)[len(s) - k]
-            keep = (s >= border - 1e-9) & (s >= least)
+            keep = (s >= border - 1e-6) & (s >= least)  # within rounding of the border
         else:
             keep = s >= least
         r, c = np.nonzero(keep)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memloom.functions import scalars as sc
 from memloom.functions import vec
 from memloom.operators import filters, ranking, search, walks
-from memloom.session import checkpoint
+from memloom.session import written
 
 GC_HALF_LIFE_S = 7 * 86_400
 
@@ -62,12 +62,12 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
         seeds = search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score"))
-    seeds = checkpoint(seeds)
+    seeds = written(seeds)
     links = walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score")
     near = walks.neighbourhood(links.select("reason_id", "u", "v"), seeds, s.hops)
     nodes = near.join(entities.select("entity_id", "vector"), "entity_id")
     q = entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>")
-    nodes = checkpoint(nodes.join(F.broadcast(q), "query_id").select(  # a query list is bounded
+    nodes = written(nodes.join(F.broadcast(q), "query_id").select(  # a query list is bounded
         "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"),
         F.when((F.size("vector") == F.size("qv")) & vec.usable(F.col("vector")), F.col("vector")).alias("vector"),
     ))
@@ -89,21 +89,21 @@ def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attra
     """
     options = options or filters.QueryOptions()
     keep = filters.predicate(options) if options.is_active else None
-    entities = checkpoint(entities)
+    entities = written(entities)
     queries = [(r.kern_id, list(r.graviton_vec)) for r in attractors]
     texts = [(r.kern_id, r.graviton_text) for r in attractors]
-    important = checkpoint(search.important(entities, accesses, queries, keep))
-    dense = checkpoint(dense_seeds(entities, reasons, queries, important, s, keep))
+    important = written(search.important(entities, accesses, queries, keep))
+    dense = written(dense_seeds(entities, reasons, queries, important, s, keep))
     seeds = dense
     if s.mode == "hybrid":
         passing = entities.where(keep).select("entity_id") if keep is not None else None
-        lexical = checkpoint(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))
-        ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds)
+        lexical = written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))
+        ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds, tolerance=None)
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
         fused = ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k)
         cos = vec.score_against(entities, queries).withColumn("cosine", F.round("cosine", 6))
-        seeds = checkpoint(ranking.rescore(fused, cos))
-    walked = checkpoint(expansion(entities, reasons, queries, s, seeds)).where("kind = 'hit'").select("query_id", "entity_id", "score")
+        seeds = written(ranking.rescore(fused, cos))
+    walked = written(expansion(entities, reasons, queries, s, seeds)).where("kind = 'hit'").select("query_id", "entity_id", "score")
     pooled = ranking.log_sum_exp(walked.unionByName(seeds), ["query_id", "entity_id"])
     rows = pooled.withColumnRenamed("score", "merged").join(entities.withColumnRenamed("score", "own_score"), "entity_id").join(accesses, "entity_id", "left")
     rows = ranking.confidence_boost(rows.withColumnRenamed("merged", "score"), now)
@@ -114,7 +114,7 @@ def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attra
     rows = rows.where(filters.not_expired(options, now)).withColumn("score", F.round("score", 6))
     rows = filters.deliverable(rows, s.floor, max(ranking.MMR_POOL, s.deliver))
     rows = rows.withColumn("confidence", sc.conf_mean(F.col("conf_alpha"), F.col("conf_beta")))
-    rows = checkpoint(ranking.resorted(rows, options.sort, options.ascending))
+    rows = written(ranking.resorted(rows, options.sort, options.ascending))
     q = entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>")
     ready = rows.join(F.broadcast(q), "query_id").withColumn(
         "cosine", F.when(F.size("vector") == F.size("qv"), vec.cosine(F.col("vector"), F.col("qv"))))

@@ -36,7 +36,7 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: columnar, prunable, survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom-{label}-{uuid.uuid4().hex}"
