@@ -128,7 +128,9 @@ def _line(line: str) -> tuple[int, list[str], float]:
     few = sum(w in FUNCTION_WORDS and w not in WEAK for w in named)
     share = few / len(named) if named else 0.0
     cjk = len(_CJK.findall(bare))
-    sentence = (cjk >= 8 and bool(_CJK_SENTENCE.search(bare)) and cjk / max(1, len(named)) > 6) or (share >= 0.15 and len(named) >= 4)
+    # without blanks between words, terms are whole clauses, so recurrence says nothing
+    clauses = cjk >= 8 and bool(_CJK_SENTENCE.search(bare)) and cjk / max(1, len(named)) > 6
+    sentence = clauses or (share >= 0.15 and len(named) >= 4)
     if linked:
         text = sum(map(len, named))
         sentence = sentence or len(named) >= 4 and sum(w in FUNCTION_WORDS for w in named) >= 0.3 * len(named)
@@ -138,7 +140,7 @@ def _line(line: str) -> tuple[int, list[str], float]:
     if share < 0.25 and len(named) <= 24 and _PRICE.search(bare):
         return TAGS, named, share
     if sentence:
-        return LEGIT if not _stuffed(named, share) else WORDS, named, share
+        return LEGIT if clauses or not _stuffed(named, share) else WORDS, named, share
     if len(marked) >= 1 and sum(map(len, marked)) > 0.7 * len(bare.strip()):
         return TAGS, [m.lower() for m in marked], share
     return WORDS, named, share
