@@ -52,3 +52,12 @@ def plan_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast only when the estimated size is within ``limit``; otherwise the join shuffles."""
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster runs tasks, before work that is heavy per row.
+
+    Inputs of several files already have them and stay where they are; a single small file would keep one core busy.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < want else df

@@ -1,0 +1,167 @@
+"""Ranking, walks and search on small graphs with hand-worked results."""
+
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from memloom.functions import vec
+from memloom.operators import filters, ranking, retrieval, search, stats, walks
+
+
+def test_log_sum_exp(spark):
+    rows = spark.createDataFrame([("a", 0.9), ("a", 0.4), ("b", 0.5), ("b", 0.5), ("c", 7.0), ("d", float("nan")), ("c", float("inf"))], "k string, score double")
+    got = {r.k: r.score for r in ranking.log_sum_exp(rows, ["k"]).collect()}
+    assert got["a"] == pytest.approx(1.374077, abs=1e-6) and got["b"] == pytest.approx(1.193147, abs=1e-6) and got["c"] == 7 and "d" not in got
+
+
+def test_rrf(spark):
+    a = spark.createDataFrame([("q", "x", 0.9), ("q", "y", 0.5)], "query_id string, entity_id string, score double")
+    b = spark.createDataFrame([("q", "z", 0.9), ("q", "x", 0.5)], "query_id string, entity_id string, score double")
+    got = {r.entity_id: r.score for r in ranking.rrf([(a, 1.0), (b, 1.0)], 10).collect()}
+    assert got["x"] == pytest.approx(0.032522, abs=1e-6) and got["z"] == pytest.approx(1 / 61)
+
+
+def test_bm25(spark):
+    docs = spark.createDataFrame([("d1", "the quick brown fox"), ("d2", "lazy dog programming"), ("d3", "quick quick fox"), ("d4", None)], "entity_id string, text string")
+    got = {r.entity_id: r.score for r in search.bm25(docs, [("q", "quick fox")], 10).collect()}
+    assert got["d3"] == pytest.approx(1.155008, abs=1e-6) and got["d1"] == pytest.approx(0.868914, abs=1e-6) and "d2" not in got
+    assert search.bm25(docs.limit(0), [("q", "quick")], 3).count() == 0 and search.bm25(docs, [], 3).count() == 0 and search.bm25(docs, [("q", None)], 3).count() == 0
+
+
+def test_pagerank(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 1), ("b", "c", 1)], "src string, dst string, w int")
+    seeds = spark.createDataFrame([("q", "a", 1.0)], "query_id string, entity_id string, score double")
+    got = {r.entity_id: r["rank"] for r in walks.pagerank(edges, seeds, 10, tolerance=None).collect()}
+    assert got == pytest.approx({"a": 0.453238, "b": 0.190011, "c": 0.356751}, abs=1e-6)
+    more = {r.entity_id: r["rank"] for r in walks.pagerank(edges, seeds, 200).collect()}
+    assert sum(more.values()) == pytest.approx(1)
+
+
+def test_uniform_teleport_without_positive_seeds(spark):
+    edges = spark.createDataFrame([], "src string, dst string, w int")
+    seeds = spark.createDataFrame([("q", "a", -1.0), ("q", "b", 0.0)], "query_id string, entity_id string, score double")
+    assert {r.entity_id: r["rank"] for r in walks.pagerank(edges, seeds, 2, tolerance=None).collect()} == {"a": 0.5, "b": 0.5}
+
+
+def beam(rows, content=0.5, most=100):
+    return walks._beam(pd.DataFrame([("q", *r) for r in rows], columns=["query_id", "kind", "edge", "a", "b", "x"]), content, most, 0.25)
+
+
+def test_beam_reaches_and_credits():
+    out = beam([("seed", None, "s", None, 0.8), ("node", None, "s", None, 0.8), ("node", None, "n", None, 0.1), ("node", None, "far", None, 0.0), ("edge", "e1", "s", "n", 0.2), ("edge", "e2", "n", "far", 0.01)])
+    hits = {r.entity_id: r.score for r in out[out.kind == "hit"].itertuples()}
+    chains = [(r.nodes, r.score) for r in out[out.kind == "chain"].itertuples()]
+    assert chains == [(["s", "e1", "n"], pytest.approx(0.25))]
+    # the walk score 0.25 is lifted by 2 x 0.8 x 0.2, capped at 0.5, staying below the source
+    assert hits["n"] == pytest.approx(0.25 + 0.32) and "far" not in hits
+    assert hits["s"] == pytest.approx(0.8)  # its credit can't pass its crediting source
+
+
+def test_beam_ceiling_and_limit():
+    out = beam([("seed", None, "s", None, 0.3), ("node", None, "s", None, 0.3), ("node", None, "n", None, 0.0), ("edge", "e1", "s", "n", 0.28)])
+    hits = {r.entity_id: r.score for r in out[out.kind == "hit"].itertuples()}
+    assert hits["n"] < 0.3 and hits["n"] == pytest.approx(0.3)
+    assert set(beam([("seed", None, "s", None, 0.3), ("node", None, "s", None, 0.3), ("node", None, "n", None, 0.5), ("edge", "e", "s", "n", 0.2)], most=1).entity_id) == {"s"}
+
+
+def test_ancestors_cycle(spark):
+    links = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "c")], "newer string, older string")
+    got = {(r.entity_id, r.depth) for r in walks.ancestors(spark.createDataFrame([("c",)], "head string"), links).collect()}
+    assert got == {("b", 1), ("a", 2)}
+
+
+def test_section_dedup(spark):
+    rows = [("q", "a", "doc#chunk0", 0.4, 3), ("q", "b", "doc#chunk1", 0.9, 1), ("q", "c", "other#chunk0", 0.5, 2), ("q", "d", None, 0.1, 4), ("q", "e", "", 0.1, 5)]
+    hits = spark.createDataFrame(rows, "query_id string, entity_id string, section string, score double, rank int")
+    assert {r.entity_id for r in ranking.section_dedup(hits).collect()} == {"b", "c", "d", "e"}
+
+
+def test_mmr_prefers_new():
+    rows = pd.DataFrame({"query_id": "q", "entity_id": ["a", "b", "c"], "score": [0.9, 0.8, 0.7], "rank": [1, 2, 3], "cosine": [0.95, 0.94, 0.7], "vector": [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]})
+    assert ranking._mmr(rows, 2, 50, 0.75)["entity_id"].tolist() == ["a", "c"]
+    assert ranking._mmr(rows, 3, 50, 0.75)["entity_id"].tolist() == ["a", "b", "c"]
+    rows["vector"] = None
+    assert len(ranking._mmr(rows, 1, 50, 0.75)) == 1
+
+
+def test_cooldown(spark):
+    t = dt.datetime(2026, 1, 1)
+    log = spark.createDataFrame([("e", t + dt.timedelta(seconds=s)) for s in (0, 30, 60, 100, 121, 121)] + [("f", t), (None, t), ("f", None)], "entity_id string, ts timestamp")
+    got = ranking.accepted_accesses(log).groupBy("entity_id").count().collect()
+    assert {(r.entity_id, r["count"]) for r in got} == {("e", 3), ("f", 1)}
+
+
+def test_gini_and_percentiles(spark):
+    g = lambda xs: stats.gini(spark.createDataFrame([(x,) for x in xs], "v bigint"), "v").first().gini
+    assert g([]) == 0 and g([5, 5, 5]) == pytest.approx(0) and g([0, 0, 0]) == 0 and g([10, 0, 0]) == pytest.approx(2 / 3)
+    p = {r.share: r.value for r in stats.nearest_rank(spark.createDataFrame([(i,) for i in range(1, 11)], "v bigint"), "v", [0.5, 0.95]).collect()}
+    assert p == {0.5: 5, 0.95: 10}
+
+
+def test_delivery_floor(spark):
+    rows = [("q", "a", "active", 0.9), ("q", "b", "active", 0.2), ("q", "c", "superseded", 1.0), ("r", "d", "active", 0.1)]
+    hits = spark.createDataFrame(rows, "query_id string, entity_id string, status string, score double")
+    assert {(r.query_id, r.entity_id) for r in filters.deliverable(hits, 0.5, 10).collect()} == {("q", "a"), ("r", "d")}
+
+
+def test_chain_filter(spark):
+    chains = spark.createDataFrame([("q", 1, ["a", "e1", "b"], 0.5), ("q", 2, ["a", "e2", "c"], 0.4)], "query_id string, chain_no int, nodes array<string>, score double")
+    ok = spark.createDataFrame([("a", True), ("b", False)], "entity_id string, ok boolean")
+    assert [r.chain_no for r in filters.whole_chains(chains, ok).collect()] == [2]
+
+
+def test_options_are_checked():
+    with pytest.raises(ValueError):
+        filters.predicate(filters.QueryOptions(scheme="ftp"))
+    with pytest.raises(ValueError):
+        filters.predicate(filters.QueryOptions(kind="odd"))
+    assert not filters.QueryOptions().is_active and filters.QueryOptions(user_id="u").is_active
+
+
+def test_topk_dirty_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0]), ("e", [float("nan"), 1.0]), ("f", [1.0, 1.0])]
+    store = spark.createDataFrame(rows, "entity_id string, vector array<float>")
+    got = [(r.entity_id, r["rank"]) for r in search.vector_topk(store, [("q", [1.0, 0.0])], 5).orderBy("rank").collect()]
+    assert got == [("a", 1), ("f", 2)]
+    assert search.vector_topk(store, [], 5).count() == 0
+
+
+def test_nearest_other_is_exact(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    x[150:160] = x[:10]
+    rows = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)], "entity_id string, vector array<float>")
+    got = {r.query_id: r.entity_id for r in search.nearest_other(rows.selectExpr("entity_id as query_id", "vector"), rows, 8, 1, slices=5).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    assert got == {f"{i:03}": f"{int(s[i].argmax()):03}" for i in range(300)}
+
+
+def test_eval_metrics(spark):
+    rows = spark.createDataFrame([(1, [1]), (2, [2, 9]), (1, [])], "gold_n int, ranks array<int>")
+    m = stats.eval_metrics(rows).first()
+    assert m.recall_any_1 == pytest.approx(1 / 3, abs=1e-6) and m.recall_all_10 == pytest.approx(2 / 3, abs=1e-6) and m.mrr == pytest.approx(0.5)
+    ideal = 1 + 1 / math.log2(3)
+    assert m.ndcg_10 == pytest.approx((1 + (1 / math.log2(3) + 1 / math.log2(10)) / ideal) / 3, abs=1e-6)
+
+
+def test_gravity_takes_the_strongest(spark):
+    store = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [-1.0, 0.0])], "entity_id string, vector array<float>")
+    got = {r.entity_id: r.pull for r in ranking.pulls(store, [("g", [1.0, 0.0], 2.0), ("h", [1.0, 1.0], 1.0)]).collect()}
+    assert got == {"a": pytest.approx(2.0)} and vec.top_k is not None
+
+
+def test_presets():
+    assert retrieval.PRESETS["tight"].deliver == 12 and retrieval.PRESETS["relaxed"].seed_k == 25
+
+
+def test_kind_closure_cycle(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("z", None)], "child string, parent string")
+    got = {r.reached for r in filters.closure(spark, edges).where(F.col("start") == "a").collect()}
+    assert got == {"a", "b", "c"}
