@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from memloom.session import spread
+
 #: Characters a page must have, share of them that must be junk.
 MIN_CHARS, SHARE = 40, 0.5
 #: Function words by language (fixed values).
@@ -210,8 +212,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def junk_shares(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, junk_share`` of every row of ``docs``; no shuffle, one row out for each row in."""
-    return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(_found, "doc_id bigint, junk_share double")
+    """``doc_id, junk_share`` of every row of ``docs``, one row out for each row in."""
+    return spread(docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))).mapInArrow(_found, "doc_id bigint, junk_share double")
 
 
 def junk_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.arrow import blocks, list_array
-from memloom.session import checkpoint, written
+from memloom.session import checkpoint, spread, written
 
 BANDS, ROWS = 24, 2
 WORDS64 = 8  # words of the bitmap: 512 bits
@@ -306,7 +306,7 @@ def near_duplicates(items: DataFrame, threshold: float = 0.8, width: int = 5, mi
     """
     items = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     kind = "item_id bigint, k1 bigint, k2 bigint, size int, " + ", ".join(f"{w} bigint" for w in _BITS) + ", bands array<bigint>"
-    sigs = written(items.mapInArrow(lambda it: _signatures(it, width, min_words), kind), "signatures")
+    sigs = written(spread(items).mapInArrow(lambda it: _signatures(it, width, min_words), kind), "signatures")
     reps = sigs.groupBy("k1", "k2").agg(
         F.min("item_id").alias("id"), F.first("size").alias("size"), *[F.first(w).alias(w) for w in _BITS], F.first("bands").alias("bands")
     )

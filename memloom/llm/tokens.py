@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from memloom.llm.arrow import blocks, codepoints, list_array
+from memloom.session import spread
 
 #: Where the vocabularies lie unless a caller says otherwise.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -225,10 +226,11 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "
                   folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs``; one row out for each row in, repeats included.
 
-    Empty and null texts have an empty list; strings that look like special tokens are ordinary text. No shuffle.
+    Empty and null texts have an empty list; strings that look like special tokens are ordinary text. Nothing is shuffled
+    unless the input has fewer partitions than the cluster runs tasks.
     """
     path = vocabulary(tokenizer, folder)
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(
+    return spread(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))).mapInArrow(
         lambda batches: _encoded(batches, path, False), "doc_id bigint, ids array<int>"
     )
 
@@ -237,6 +239,6 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "d
                  folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, n_tokens`` of every row of ``docs``, as :func:`encode_corpus` but without the ids."""
     path = vocabulary(tokenizer, folder)
-    return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(
+    return spread(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))).mapInArrow(
         lambda batches: _encoded(batches, path, True), "doc_id bigint, n_tokens int"
     )
