@@ -15,6 +15,7 @@ from memloom import config as configuration
 from memloom.functions import scalars as sc
 from memloom.functions import vec
 from memloom.operators import crdt, filters, maintenance, ranking, retrieval, search, stats, walks, writes
+from memloom.session import written
 from memloom.sources import embedding, intake
 from memloom.sources.store import Store
 from memloom.streaming import feed
@@ -111,12 +112,35 @@ class MemoryEngine:
         """A-07."""
         dim = filters.dominant_dim(self.entities).select("dim")
         base = stats.counts(self.kerns, self.entities, self.reasons)
-        sizes = stats.gini(self.entities.groupBy("kern_id").agg(F.count("*").alias("n")), "n").withColumnRenamed("gini", "gini_kerns")
+        sizes = stats.gini(self.entities.groupBy("kern_id").agg(F.count("*").alias("n")), "n").withColumnRenamed("gini", "gini_partitions")
         return base.join(F.broadcast(dim), F.lit(True), "left").join(F.broadcast(sizes), F.lit(True), "left").withColumn("epoch", F.lit(self.store.epoch))
 
-    def list_kerns(self) -> DataFrame:
+    def list_partitions(self) -> DataFrame:
         """A-06."""
-        return walks.tree(self.spark, self.kerns).join(stats.kern_summary(self.entities), "kern_id", "left")
+        return walks.tree(self.spark, self.kerns).join(stats.partition_summary(self.entities), "kern_id", "left")
+
+    def thought(self, entity_id: str) -> DataFrame:
+        """An entity with the number and kinds of its edges."""
+        row = self.entities.where(F.col("entity_id") == entity_id).select(F.lit("id").alias("query_id"), "entity_id")
+        return ranking.envelope(row.withColumn("score", F.lit(0.0)), self.entities, self.reasons)
+
+    def reason(self, reason_id: str) -> DataFrame:
+        return self.reasons.where(F.col("reason_id") == reason_id)
+
+    def resource(self, uri: str) -> DataFrame:
+        """What a resource address names: ``local/health``, ``local/thoughts``, ``local/partitions``, ``local/claim-kinds``, ``thought/ID``, ``reason/ID``."""
+        kind, _, rest = uri.partition("/")
+        if kind in ("thought", "reason") and rest:
+            return self.thought(rest) if kind == "thought" else self.reason(rest)
+        found = {"health": self.health, "thoughts": self.top, "partitions": self.list_partitions, "claim-kinds": lambda: self.store.read("claim_kinds")}
+        if kind != "local" or rest not in found:
+            raise ValueError(f"unknown resource {uri!r}")
+        return found[rest]()
+
+    def unnamed(self) -> DataFrame:
+        """Partitions without a name, with what they hold."""
+        n = self.entities.groupBy("kern_id").agg(F.count("*").alias("n_entities"))
+        return self.kerns.where((F.col("kern_id") != "root") & (F.coalesce("graviton_text", F.lit("")) == "")).select("kern_id", "parent_id").join(n, "kern_id", "left")
 
     def top(self, n: int = 50) -> DataFrame:
         """A-05."""
@@ -137,18 +161,16 @@ class MemoryEngine:
             "m.user_id", "m.agent_id", "m.session_id", F.lit("active").alias("status"), F.lit(None).cast("string").alias("superseded_by"), at.alias("created_at"), at.alias("updated_at"),
             F.lit(None).cast("timestamp").alias("accessed_at"), F.lit(0.0).cast("float").alias("heat"), "m.valid_until", F.lit(0).cast("long").alias("valid_until_lamport"),
             F.lit(None).cast("string").alias("valid_until_producer"))
-        from memloom.session import checkpoint
-
-        new = checkpoint(new)
+        new = written(new, "incoming")
         dim = new.where(F.size("vector") > 0).select(F.size("vector")).limit(1).collect()
         if not dim:
             return {"inserted": 0, "merged": 0}
         store = self.entities.where("status <> 'superseded'")
         same = new.select("entity_id").join(store.select("entity_id"), "entity_id", "left_semi").select(F.col("entity_id").alias("query_id"), "entity_id")
         near = search.nearest_other(new.select(F.col("entity_id").alias("query_id"), "vector"), store, dim[0][0], 1, self.config["ingest"]["dedup_threshold"], slices=8)
-        matches = checkpoint(same.unionByName(near.select("query_id", "entity_id")).dropDuplicates(["query_id"]))
+        matches = written(same.unionByName(near.select("query_id", "entity_id")).dropDuplicates(["query_id"]))
         updated, fresh, rephrases = writes.merge_duplicates(store, new, matches)
-        fresh = checkpoint(fresh)
+        fresh = written(fresh)
         routed = writes.route(fresh, self._attractors()) if self._attractors() else fresh.select("entity_id", F.lit("generic").alias("kern_id"))
         placed = fresh.join(routed, "entity_id", "left").withColumn("kern_id", F.coalesce("kern_id", F.lit("generic")))
         u = updated.select("entity_id", F.col("conf_alpha").alias("a"), F.col("valid_until").alias("t"))
@@ -201,7 +223,7 @@ class MemoryEngine:
         pooled = vec.mean_pool(embedding.embedded(lines, "text", self.embedder).withColumn("g", F.lit(1)), ["g"], "vector").first()
         if pooled is None or pooled.pooled is None:
             raise ValueError("the examples have no vector")
-        kern_id = self.spark.range(1).select(F.concat(F.lit("kern-"), F.substring(F.sha2(F.lit(name), 256), 1, 16))).first()[0]
+        kern_id = self.spark.range(1).select(F.concat(F.lit("part-"), F.substring(F.sha2(F.lit(name), 256), 1, 16))).first()[0]
         return self.store.replace("kerns", writes.add_graviton(self.kerns, name, pooled.pooled, kern_id))
 
     def graviton_remove(self, name: str) -> int:
@@ -212,6 +234,17 @@ class MemoryEngine:
         """W-16."""
         return writes.list_gravitons(self.kerns, self.entities)
 
+    def promote_unnamed(self, kern_id: str, name: str) -> int:
+        """W-16: an unnamed partition becomes an attractor of the pooled vector of what it holds."""
+        held = self.entities.where((F.col("kern_id") == kern_id) & vec.usable(F.col("vector")))
+        pooled = vec.mean_pool(held, ["kern_id"], "vector").first()
+        if pooled is None or pooled.pooled is None:
+            raise ValueError("the partition has no vector")
+        hit = F.col("kern_id") == kern_id
+        new = F.array(*[F.lit(float(x)).cast("float") for x in pooled.pooled])
+        k = self.kerns.withColumn("graviton_vec", F.when(hit, new).otherwise(F.col("graviton_vec")))
+        return self.store.replace("kerns", k.withColumn("graviton_text", F.when(hit, name).otherwise(F.col("graviton_text"))).withColumn("parent_id", F.when(hit, "root").otherwise(F.col("parent_id"))))
+
     def claim_kind_add(self, kind: str, parents: list[str]) -> int:
         """W-17."""
         empty = self.spark.createDataFrame([], "child string, parent string")
@@ -267,6 +300,44 @@ class MemoryEngine:
         for name in ("entities", "reasons", "kerns"):
             self.store.compact(name)
 
+    def compress(self) -> int:
+        """K-10."""
+        return self.store.compress("entities")
+
+    def evict_empty(self) -> int:
+        """M-13: drop partitions that are dead; how many."""
+        dead = walks.dead_partitions(self.spark, self.kerns, self.entities)
+        n = dead.count()
+        if n:
+            self.store.replace("kerns", self.kerns.join(dead, "kern_id", "left_anti"))
+        return n
+
+    def tick(self, now: datetime | str | None = None, dim: int | None = None) -> dict[str, int]:
+        """M-01: one round of upkeep: a pulse, collection, evidence decay, spawning from clusters, eviction."""
+        done = {"pulsed": self.pulse().count(), "spilled": self.gc(now)}
+        half = self.config["heat"]["evidence_half_life_secs"]
+        if half > 0:
+            self.store.replace("entities", maintenance.decay_evidence(self.entities, self._now(now), half))
+        dim = dim or (filters.dominant_dim(self.entities).first() or [None])[0]
+        done["moved"] = 0
+        if dim:
+            c = maintenance.clusters(self.entities, dim)
+            moves = maintenance.spawned(c, maintenance.centroids(c, self.entities, self.kerns))
+            moves = written(moves, "moves")
+            done["moved"] = moves.count()
+            if done["moved"]:
+                shells = moves.select(F.col("new_part").alias("kern_id"), F.col("kern_id").alias("parent_id")).distinct().withColumn("graviton_text", F.lit(""))
+                kerns = self.kerns.unionByName(shells.join(self.kerns.select("kern_id"), "kern_id", "left_anti"), allowMissingColumns=True)
+                e, r = writes.move(self.entities, self.reasons, moves.select("entity_id", F.col("new_part").alias("kern_id")), kerns)
+                self.store.commit({"kerns": kerns, "entities": e, "reasons": r})
+        return done | {"evicted": self.evict_empty()}
+
+    def intake_status(self, folder: str) -> dict[str, int]:
+        """A-08."""
+        from pathlib import Path
+
+        return intake.folder_report(Path(folder))
+
     def intake_drain(self, folder: str) -> DataFrame:
         """S-04: what a folder holds, classified."""
         return intake.read_intake(self.spark, folder)

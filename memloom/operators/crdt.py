@@ -98,7 +98,7 @@ def absorb(a: DataFrame, b: DataFrame) -> DataFrame:
     return entity_join(a.unionByName(b, allowMissingColumns=True))
 
 
-def absorb_kerns(a: DataFrame, b: DataFrame) -> DataFrame:
+def absorb_partitions(a: DataFrame, b: DataFrame) -> DataFrame:
     """C-05: partitions of both stores; the local shell wins."""
     return a.unionByName(b.join(a.select("kern_id"), "kern_id", "left_anti"))
 

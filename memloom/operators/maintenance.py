@@ -103,10 +103,10 @@ def centroids(clustered: DataFrame, entities: DataFrame, kerns: DataFrame) -> Da
 
 
 def spawned(clustered: DataFrame, shaped: DataFrame, size: int = SPAWN_SIZE, cohesion: float = COHESION) -> DataFrame:
-    """M-07: (entity_id, kern_id, new_kern): members of big cohesive non-core clusters of named partitions move to a child each."""
+    """M-07: (entity_id, kern_id, new_part): members of big cohesive non-core clusters of named partitions move to a child each."""
     ok = shaped.where((F.col("name") != "") & ~F.col("is_core") & (F.col("size") >= size) & (F.col("cohesion") >= cohesion)).select("kern_id", "cluster")
-    child = F.concat(F.lit("kern-"), F.substring(F.sha2(F.concat_ws("/", "kern_id", F.col("cluster").cast("string")), 256), 1, 16))
-    return clustered.join(ok, ["kern_id", "cluster"]).select("entity_id", "kern_id", child.alias("new_kern"))
+    child = F.concat(F.lit("part-"), F.substring(F.sha2(F.concat_ws("/", "kern_id", F.col("cluster").cast("string")), 256), 1, 16))
+    return clustered.join(ok, ["kern_id", "cluster"]).select("entity_id", "kern_id", child.alias("new_part"))
 
 
 def naming(clustered: DataFrame, shaped: DataFrame, entities: DataFrame, model: Callable[[str], str] | None = None,

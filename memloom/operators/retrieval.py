@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,12 +48,15 @@ def cold_victims(entities: DataFrame, now: Column, half_life_s: int = GC_HALF_LI
     )
 
 
-def dense_seeds(entities: DataFrame, reasons: DataFrame, queries: search.Queries, important: DataFrame, s: Settings, keep: Column | None) -> DataFrame:
-    """R-02: blended hits (or edge origins in reason mode), pooled with the important ones, the best seed_k."""
+def dense_hits(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, keep: Column | None) -> DataFrame:
+    """R-02: blended hits, or edge origins in reason mode."""
     if s.mode == "reason":
-        hits = search.seed_by_reason(search.reason_vectors(reasons, entities), queries, s.seed_k)
-    else:
-        hits = search.blended(entities, queries, s.seed_k, keep).select("query_id", "entity_id", "score")
+        return search.seed_by_reason(search.reason_vectors(reasons, entities), queries, s.seed_k)
+    return search.blended(entities, queries, s.seed_k, keep).select("query_id", "entity_id", "score")
+
+
+def pooled_seeds(hits: DataFrame, important: DataFrame, s: Settings) -> DataFrame:
+    """R-02: hits pooled with the important entities, the best seed_k."""
     pooled = ranking.log_sum_exp(hits.unionByName(important.select("query_id", "entity_id", "score")), ["query_id", "entity_id"])
     return vec.top_k(pooled, s.seed_k, "score").select("query_id", "entity_id", "score")
 
@@ -61,8 +65,7 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     """R-07, R-08: walks of every query over its own neighbourhood."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
-        seeds = search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score"))
-    seeds = written(seeds)
+        seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
     links = walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score")
     near = walks.neighbourhood(links.select("reason_id", "u", "v"), seeds, s.hops)
     nodes = near.join(entities.select("entity_id", "vector"), "entity_id")
@@ -92,12 +95,17 @@ def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attra
     entities = written(entities)
     queries = [(r.kern_id, list(r.graviton_vec)) for r in attractors]
     texts = [(r.kern_id, r.graviton_text) for r in attractors]
-    important = written(search.important(entities, accesses, queries, keep))
-    dense = written(dense_seeds(entities, reasons, queries, important, s, keep))
-    seeds = dense
-    if s.mode == "hybrid":
+    # independent of each other: their jobs share the cluster
+    with ThreadPoolExecutor(3) as pool:
+        coming = pool.submit(lambda: written(search.important(entities, accesses, queries, keep)))
         passing = entities.where(keep).select("entity_id") if keep is not None else None
-        lexical = written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))
+        lexical_coming = pool.submit(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if s.mode == "hybrid" else None
+        hits_coming = pool.submit(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
+        important, hits = coming.result(), hits_coming.result()
+        lexical = lexical_coming.result() if lexical_coming else None
+    dense = written(pooled_seeds(hits, important, s))
+    seeds = dense
+    if lexical is not None:
         ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds, tolerance=None)
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
         fused = ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k)

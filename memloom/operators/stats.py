@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def counts(kerns: DataFrame, entities: DataFrame, reasons: DataFrame) -> DataFrame:
     """A-02: one row: partitions, entities, edges, unnamed partitions, entities of the largest partition."""
-    k = kerns.agg(F.count("*").alias("n_kerns"), F.sum((F.coalesce("graviton_text", F.lit("")) == "").cast("int")).alias("n_unnamed"))
+    k = kerns.agg(F.count("*").alias("n_partitions"), F.sum((F.coalesce("graviton_text", F.lit("")) == "").cast("int")).alias("n_unnamed"))
     per = entities.groupBy("kern_id").agg(F.count("*").alias("n"))
-    e = per.agg(F.sum("n").alias("n_entities"), F.max("n").alias("largest_kern"))
+    e = per.agg(F.sum("n").alias("n_entities"), F.max("n").alias("largest_partition"))
     r = reasons.agg(F.count("*").alias("n_reasons"))
     return k.join(F.broadcast(e), F.lit(True)).join(F.broadcast(r), F.lit(True))
 
@@ -34,7 +34,7 @@ def top_thoughts(entities: DataFrame, n: int = 50) -> DataFrame:
     return entities.where(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), "entity_id").limit(n)
 
 
-def kern_summary(entities: DataFrame) -> DataFrame:
+def partition_summary(entities: DataFrame) -> DataFrame:
     """A-06: per partition: entities, active ones, facts, mean score."""
     return entities.groupBy("kern_id").agg(
         F.count("*").alias("n_entities"), F.sum((F.col("status") == "active").cast("int")).alias("n_active"),

@@ -198,11 +198,11 @@ def move(entities: DataFrame, reasons: DataFrame, moves: DataFrame, kerns: DataF
     An entity takes its outgoing edges along; incoming ones stay and are stamped with where it went. Unknown partitions
     are refused row by row.
     """
-    ok = moves.join(kerns.select("kern_id").distinct(), "kern_id", "left_semi").dropDuplicates(["entity_id"]).select("entity_id", F.col("kern_id").alias("new_kern"))
-    e = entities.join(ok, "entity_id", "left").withColumn("kern_id", F.coalesce("new_kern", "kern_id")).drop("new_kern")
-    src, dst = ok.select(F.col("entity_id").alias("from_id"), F.col("new_kern").alias("src_kern")), ok.select(F.col("entity_id").alias("to_id"), F.col("new_kern").alias("dst_kern"))
+    ok = moves.join(kerns.select("kern_id").distinct(), "kern_id", "left_semi").dropDuplicates(["entity_id"]).select("entity_id", F.col("kern_id").alias("new_part"))
+    e = entities.join(ok, "entity_id", "left").withColumn("kern_id", F.coalesce("new_part", "kern_id")).drop("new_part")
+    src, dst = ok.select(F.col("entity_id").alias("from_id"), F.col("new_part").alias("src_part")), ok.select(F.col("entity_id").alias("to_id"), F.col("new_part").alias("dst_part"))
     r = reasons.join(src, "from_id", "left").join(dst, "to_id", "left")
-    r = r.withColumn("kern_id", F.coalesce("src_kern", "kern_id")).withColumn("to_kern_id", F.coalesce("dst_kern", "to_kern_id")).drop("src_kern", "dst_kern")
+    r = r.withColumn("kern_id", F.coalesce("src_part", "kern_id")).withColumn("to_kern_id", F.coalesce("dst_part", "to_kern_id")).drop("src_part", "dst_part")
     return e, r
 
 

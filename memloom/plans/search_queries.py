@@ -121,7 +121,7 @@ def forget_by_source_selector(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT DISTINCT kern_id FROM kerns WHERE kern_id <> 'root' AND last_access <= TIMESTAMPTZ '{b.NOW}+00' - INTERVAL 300 SECONDS")
-def idle_kerns(spark: SparkSession, d: str) -> DataFrame:
+def idle_partitions(spark: SparkSession, d: str) -> DataFrame:
     """P-18, M-14."""
     return table(spark, d, "kerns").where(filters.idle(b.now(), 300)).select("kern_id").distinct()
 
@@ -510,7 +510,7 @@ _TREE = """RECURSIVE k AS (SELECT DISTINCT kern_id, parent_id FROM kerns), t AS
 
 
 @query("WITH " + _TREE + " SELECT kern_id, depth, array_to_string(path, '/') AS path FROM t")
-def kern_tree(spark: SparkSession, d: str) -> DataFrame:
+def partition_tree(spark: SparkSession, d: str) -> DataFrame:
     """A-06: the partition tree."""
     return walks.tree(spark, table(spark, d, "kerns")).select("kern_id", "depth", F.array_join("path", "/").alias("path"))
 
@@ -523,7 +523,7 @@ def pulse_reach(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE k AS (SELECT DISTINCT kern_id, parent_id, kern_id = 'root' OR coalesce(graviton_text, '') <> '' OR kern_id IN (SELECT kern_id FROM entities WHERE kern_id < 'kern-8') AS own FROM kerns),
   u AS (SELECT kern_id, parent_id FROM k WHERE own UNION SELECT k.kern_id, k.parent_id FROM u JOIN k ON k.kern_id = u.parent_id) SELECT kern_id FROM k WHERE kern_id NOT IN (SELECT kern_id FROM u)""")
-def dead_kerns(spark: SparkSession, d: str) -> DataFrame:
+def dead_partitions(spark: SparkSession, d: str) -> DataFrame:
     """M-13: partitions to evict, were only the lower half of the partitions filled."""
     e = table(spark, d, "entities").where("kern_id < 'kern-8'")
-    return walks.dead_kerns(spark, table(spark, d, "kerns"), e)
+    return walks.dead_partitions(spark, table(spark, d, "kerns"), e)

@@ -140,7 +140,7 @@ def graviton_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(E_SQL) + f""", v AS (SELECT kern_id, vector FROM e WHERE {usable_sql('vector')}), c AS (SELECT kern_id, i, avg(x::DOUBLE) AS m FROM (SELECT kern_id, unnest(vector) AS x, unnest(range(64)) AS i FROM v) GROUP BY ALL)
   SELECT kern_id, round(sum(m) / sqrt(sum(m * m)), 6) AS unit_sum FROM c GROUP BY kern_id""")
-def pooled_kerns(spark: SparkSession, d: str) -> DataFrame:
+def pooled_partitions(spark: SparkSession, d: str) -> DataFrame:
     """F-05, W-16: mean-pooled vectors of partitions."""
     from memloom.functions import vec
 
@@ -224,14 +224,14 @@ def spawn_and_name(spark: SparkSession, d: str) -> DataFrame:
     e, k = b.entities(spark, d), table(spark, d, "kerns")
     c = maintenance.clusters(e, b.DIM)
     shaped = maintenance.centroids(c, e, k)
-    moves = maintenance.spawned(c, shaped, size=2).groupBy("kern_id", F.col("new_kern").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("spawn"))
+    moves = maintenance.spawned(c, shaped, size=2).groupBy("kern_id", F.col("new_part").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("spawn"))
     names = maintenance.naming(c, shaped, e, size=1).select("kern_id", "name", F.lit(1).cast("long").alias("n"), F.lit("name").alias("what"))
     return moves.unionByName(names)
 
 
 @query(with_(G_SQL) + f""", n AS (SELECT kern_id, any_value(graviton_text) AS t, any_value(graviton_vec) AS v FROM kerns WHERE parent_id <> 'root' AND coalesce(graviton_text, '') <> '' GROUP BY kern_id)
   SELECT kern_id, t AS graviton_text FROM n WHERE t NOT IN (SELECT graviton_text FROM g) AND kern_id NOT IN (SELECT n.kern_id FROM n JOIN g ON true WHERE {usable_sql('v')} AND {cos_sql('v', 'g.graviton_vec')} >= 0.85)""")
-def promotable_kerns(spark: SparkSession, d: str) -> DataFrame:
+def promotable_partitions(spark: SparkSession, d: str) -> DataFrame:
     """M-08, W-16: named partitions that may move to the root."""
     return maintenance.promotable(table(spark, d, "kerns"), b.attractors(spark, d))
 
@@ -398,8 +398,8 @@ def remote_pulse(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- statistics
 
-@query(with_(E_SQL, R_SQL) + """SELECT count(*) AS n_kerns, count(*) FILTER (coalesce(graviton_text, '') = '') AS n_unnamed, (SELECT count(*) FROM e) AS n_entities,
-  (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY kern_id)) AS largest_kern, (SELECT count(*) FROM r) AS n_reasons FROM (SELECT DISTINCT ON (kern_id) * FROM kerns)""")
+@query(with_(E_SQL, R_SQL) + """SELECT count(*) AS n_partitions, count(*) FILTER (coalesce(graviton_text, '') = '') AS n_unnamed, (SELECT count(*) FROM e) AS n_entities,
+  (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY kern_id)) AS largest_partition, (SELECT count(*) FROM r) AS n_reasons FROM (SELECT DISTINCT ON (kern_id) * FROM kerns)""")
 def health_counts(spark: SparkSession, d: str) -> DataFrame:
     """A-02, A-07."""
     return stats.counts(table(spark, d, "kerns").dropDuplicates(["kern_id"]), b.entities(spark, d), b.reasons(spark, d))
@@ -415,7 +415,7 @@ def gini_access(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(E_SQL) + _GINI.format(q="SELECT count(*)::DOUBLE AS x FROM e GROUP BY kern_id"))
-def gini_kerns(spark: SparkSession, d: str) -> DataFrame:
+def gini_partitions(spark: SparkSession, d: str) -> DataFrame:
     """A-03 over partition sizes."""
     return stats.gini(b.entities(spark, d).groupBy("kern_id").agg(F.count("*").alias("n")), "n").select(F.round("gini", 6).alias("gini"))
 
@@ -427,9 +427,9 @@ def top_thoughts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_(E_SQL) + "SELECT kern_id, count(*) AS n_entities, count(*) FILTER (status = 'active') AS n_active, count(*) FILTER (kind = 'fact') AS n_facts, round(avg(score), 6) AS mean_score FROM e GROUP BY kern_id")
-def kern_summary(spark: SparkSession, d: str) -> DataFrame:
+def partition_summary(spark: SparkSession, d: str) -> DataFrame:
     """A-06."""
-    return stats.kern_summary(b.entities(spark, d))
+    return stats.partition_summary(b.entities(spark, d))
 
 
 @query("""SELECT CASE WHEN content IS NULL OR content = '' THEN 'archived' WHEN octet_length(encode(content)) > 1048576 THEN 'failed' WHEN modified_at IS NULL THEN 'stuck' ELSE 'done' END AS status, count(*) AS n FROM ingest_records GROUP BY ALL""")

@@ -91,7 +91,7 @@ class Store:
         parts = self.meta()["tables"][name]
         return self.spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*[f"{self.root}/{p}" for p in parts])
 
-    def kern(self, name: str, kern_id: str) -> DataFrame:
+    def partition(self, name: str, kern_id: str) -> DataFrame:
         """S-02: one partition's rows, pruned by folder where the table is laid out by it."""
         return self.read(name).where(F.col("kern_id") == kern_id)
 
@@ -137,7 +137,7 @@ class Store:
                 continue
         raise StaleEpoch(f"gave up after {tries} tries")
 
-    def upsert_kern(self, name: str, rows: DataFrame, kern_id: str) -> int:
+    def upsert_partition(self, name: str, rows: DataFrame, kern_id: str) -> int:
         """K-06: the rows of one partition replaced; empty rows delete it."""
         return self.flush(name, lambda old: rows if old is None else old.where(~F.col("kern_id").eqNullSafe(F.lit(kern_id))).unionByName(rows, allowMissingColumns=True))
 

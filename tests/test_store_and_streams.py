@@ -32,8 +32,8 @@ def test_versions(spark, tmp_path):
     s.append("t", frame(spark, [("c", "j", 3)]), batch_id="b1")
     s.append("t", frame(spark, [("c", "j", 3)]), batch_id="b1")
     assert s.read("t").count() == 2
-    s.upsert_kern("t", frame(spark, [("d", "k", 4)]), "k")
-    assert {r.entity_id for r in s.read("t").collect()} == {"c", "d"} and s.kern("t", "j").count() == 1
+    s.upsert_partition("t", frame(spark, [("d", "k", 4)]), "k")
+    assert {r.entity_id for r in s.read("t").collect()} == {"c", "d"} and s.partition("t", "j").count() == 1
     before = s.epoch
     s.compact("t")
     assert s.epoch == before + 1 and s.vacuum() > 0 and s.read("t").count() == 2
@@ -205,13 +205,21 @@ def test_engine_tools(spark, engine):
     engine.graviton_remove("storms")
     assert engine.gravitons().where("graviton_text = 'storms'").count() == 0
     engine.claim_kind_add("decision", ["fact"])
-    assert engine.health().first().n_entities == engine.entities.count() and engine.pulse().count() > 0 and engine.list_kerns().count() > 0 and engine.top(3).count() == 3
+    assert engine.health().first().n_entities == engine.entities.count() and engine.pulse().count() > 0 and engine.list_partitions().count() > 0 and engine.top(3).count() == 3
     engine.commit_access(spark.createDataFrame([(ids[0], 2)], "entity_id string, n bigint"), "2026-03-01 00:00:00")
     engine.commit_access(spark.createDataFrame([(ids[0], 1)], "entity_id string, n bigint"), "2026-03-01 00:00:00")
     assert engine.accesses().first().access_count == 3
     rows, cursor = engine.events(limit=5)
     assert len(rows) == 5 and engine.events(cursor, 5)[0][0] != rows[0]
     assert engine.history(ids).columns == ["head", "entity_id", "depth"]
+    assert engine.resource(f"thought/{ids[0]}").first().entity_id == ids[0] and engine.resource("local/health").count() == 1
+    with pytest.raises(ValueError):
+        engine.resource("local/nothing")
+    empty = engine.unnamed().where("n_entities > 0").orderBy("kern_id").first()
+    engine.promote_unnamed(empty.kern_id, "found")
+    assert engine.gravitons().where("graviton_text = 'found'").count() == 1
+    done = engine.tick("2025-01-01 00:00:00")
+    assert done["pulsed"] > 0 and done["spilled"] == 0
     gone = engine.gc("2026-12-01 00:00:00")
     assert gone == engine.store.cold().count()
 
