@@ -55,7 +55,7 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 #: Problem 5: five neighbours, 64 numbers, pairs of cosine 0.9 or more.
 P5_K, P5_DIM, P5_COSINE = 5, 64, 0.9
 #: Lists a whole-range search probes.
-SEARCH_LISTS = 64
+SEARCH_LISTS = 32
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
