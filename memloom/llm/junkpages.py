@@ -73,6 +73,9 @@ _JSON = re.compile(r"^\s*[\[{].*[\]}],?\s*$|^\s*\"[^\"]+\"\s*:")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _CJK_SENTENCE = re.compile(r"[぀-ゟ]{2}[。、]|[はがをにでとも][㐀-鿿゠-ヿA-Za-z]|[了的着过在是]|。")
+# What a line must hold for the patterns above to be worth trying.
+_MAY_CODE, _MAY_LINK = re.compile(r"[=(){};:\[\]&|@#/]|^(?:return|import|class|else)\b"), re.compile(r"://|www\.|[\w-]\.[a-z]{2}", re.I)
+_MAY_PRICE = re.compile(r"[$€£¥₽元円]|EUR|USD|GBP|JPY|RUB|CNY|руб", re.I)
 _STOP = re.compile(r"[.!?…。！？]+(?:[\"'”’»)\]」]*)(?:\s|$)")
 _FENCE = ("```", "~~~")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
@@ -111,25 +114,33 @@ def _by_form(line: str) -> bool:
         return True
     if _LOG.search(line) or _CHECK.search(line):
         return True
-    if _TAG.search(line) or _BBCODE.search(line):
+    if "<" in line and _TAG.search(line) or "[" in line and _BBCODE.search(line):
         return False
     if _JSON.search(line):
         return not line.startswith("[") or "{" in line or '"' in line
-    return not _LINK.search(line) and bool(_CODE.search(line) or _ENCODED.search(line))
+    if _MAY_CODE.search(line) and _CODE.search(line) or _ENCODED.search(line):
+        return not (_MAY_LINK.search(line) and _LINK.search(line))
+    return False
 
 
 def _line(line: str) -> tuple[int, list[str], float]:
     """Kind of a line, its terms, and the share of its words that are function words."""
     if _by_form(line):
         return LEGIT, [], 0.0
-    bare = _LINK.sub(" ", _BBCODE.sub(" ", _TAG.sub(lambda m: " " + " ".join(_CONTENT.findall(m[0])) + " ", line)))
-    marked = _HASHTAG.findall(bare)
-    linked = len(_LINK.findall(line))
-    words = _WORDS.findall(_BULLET.sub("", bare).lower())
-    named = [w for w in words if not w.isdigit()]
-    few = sum(w in FUNCTION_WORDS and w not in WEAK for w in named)
+    bare, linked, marked = line, 0, []
+    if "<" in bare:
+        bare = _TAG.sub(lambda m: " " + " ".join(_CONTENT.findall(m[0])) + " ", bare)
+    if "[" in bare:
+        bare = _BBCODE.sub(" ", bare)
+    if _MAY_LINK.search(line):
+        bare = _LINK.sub(" ", bare)
+        linked = len(_LINK.findall(line))
+    if "#" in bare:
+        marked = _HASHTAG.findall(bare)
+    named = [w for w in _WORDS.findall(_BULLET.sub("", bare).lower()) if not w.isdigit()]
+    few = len([w for w in named if w in FUNCTION_WORDS and w not in WEAK])
     share = few / len(named) if named else 0.0
-    cjk = len(_CJK.findall(bare))
+    cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     # without blanks between words, terms are whole clauses, so recurrence says nothing
     clauses = cjk >= 8 and bool(_CJK_SENTENCE.search(bare)) and cjk / max(1, len(named)) > 6
     sentence = clauses or (share >= 0.15 and len(named) >= 4)
@@ -139,11 +150,11 @@ def _line(line: str) -> tuple[int, list[str], float]:
         if not sentence and (len(named) <= 6 * linked or text < 40 * linked):
             return LINKS, named, share
         return LEGIT, [], share
-    if share < 0.25 and len(named) <= 24 and _PRICE.search(bare):
+    if share < 0.25 and len(named) <= 24 and _MAY_PRICE.search(bare) and _PRICE.search(bare):
         return TAGS, named, share
     if sentence:
         return LEGIT if clauses or not _stuffed(named, share) else WORDS, named, share
-    if len(marked) >= 1 and sum(map(len, marked)) > 0.7 * len(bare.strip()):
+    if marked and sum(map(len, marked)) > 0.7 * len(bare.strip()):
         return TAGS, [m.lower() for m in marked], share
     return WORDS, named, share
 
