@@ -148,8 +148,8 @@ def trim_sql(t: str) -> str:
     return f"regexp_replace({t}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-@query(f"""SELECT record_id, len(p) AS n_paragraphs, coalesce(list_sum(list_transform(p, lambda x: length(x)))::BIGINT, 0) AS n_chars,
-  len(t) AS n_turns, sha256(array_to_string(t, '|')) AS turn_hash FROM (
+@query(f"""SELECT record_id, len(p)::INT AS n_paragraphs, coalesce(list_sum(list_transform(p, lambda x: length(x)))::BIGINT, 0) AS n_chars,
+  len(t)::INT AS n_turns, sha256(array_to_string(t, '|')) AS turn_hash FROM (
   SELECT DISTINCT record_id, list_filter(list_transform(string_split(content, chr(10) || chr(10)), lambda x: {trim_sql('x')}), lambda x: length(x) > 0) AS p,
     list_filter(list_transform(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: {trim_sql('x')}),
       lambda x: length(x) > 0) AS t FROM ingest_records WHERE length({trim_sql('content')}) > 0)""")

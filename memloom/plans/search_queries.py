@@ -95,7 +95,7 @@ def kind_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(E_SQL, G_SQL) + f""", s AS (SELECT g.kern_id AS query_id, entity_id, round({cos_sql('vector', 'graviton_vec')}, 6) AS score FROM e JOIN g ON true
     WHERE status <> 'superseded' AND {usable_sql('vector')}), m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s)
-  SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank
+  SELECT query_id, entity_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank
     FROM m WHERE score >= 0.45 OR best < 0.45) WHERE rank <= 40""")
 def filter_delivery(spark: SparkSession, d: str) -> DataFrame:
     """P-14."""
@@ -141,7 +141,7 @@ def id_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def _topk_sql(vector: str, where: str, k: int = K) -> str:
     return (
-        f"SELECT query_id, entity_id, cosine, rank FROM (SELECT g.kern_id AS query_id, entity_id, round({cos_sql(vector, 'graviton_vec')}, 6) AS cosine, "
+        f"SELECT query_id, entity_id, cosine, rank::INT AS rank FROM (SELECT g.kern_id AS query_id, entity_id, round({cos_sql(vector, 'graviton_vec')}, 6) AS cosine, "
         f"row_number() OVER (PARTITION BY g.kern_id ORDER BY round({cos_sql(vector, 'graviton_vec')}, 6) DESC, entity_id) AS rank "
         f"FROM e JOIN g ON true WHERE {where} AND {usable_sql(vector)}) WHERE rank <= {k}"
     )
@@ -170,7 +170,7 @@ def _blend_sql(k: int) -> str:
     return _BLEND % (_topk_sql("vector", "status <> 'superseded'", w), _topk_sql("gnn_vector", "status <> 'superseded'", w))
 
 
-@query(with_(E_SQL, G_SQL, _blend_sql(K)) + f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM m) WHERE rank <= {K}")
+@query(with_(E_SQL, G_SQL, _blend_sql(K)) + f"SELECT query_id, entity_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM m) WHERE rank <= {K}")
 def blend_topk(spark: SparkSession, d: str) -> DataFrame:
     """V-07, V-16."""
     return search.blended(b.entities(spark, d), b.vector_queries(spark, d), K)
@@ -178,7 +178,7 @@ def blend_topk(spark: SparkSession, d: str) -> DataFrame:
 
 _REASON_VEC = f"""rv AS MATERIALIZED (SELECT reason_id, from_id, list_transform(list_zip(x.vector::DOUBLE[], y.vector::DOUBLE[]), lambda p: ((p[1] + p[2]) / 2)::FLOAT) AS v
   FROM r JOIN e x ON x.entity_id = from_id JOIN e y ON y.entity_id = to_id WHERE {usable_sql('x.vector')} AND {usable_sql('y.vector')}),
- rh AS (SELECT query_id, reason_id, cosine, rank FROM (SELECT g.kern_id AS query_id, reason_id, round({cos_sql('v', 'graviton_vec')}, 6) AS cosine,
+ rh AS (SELECT query_id, reason_id, cosine, rank::INT AS rank FROM (SELECT g.kern_id AS query_id, reason_id, round({cos_sql('v', 'graviton_vec')}, 6) AS cosine,
    row_number() OVER (PARTITION BY g.kern_id ORDER BY round({cos_sql('v', 'graviton_vec')}, 6) DESC, reason_id) AS rank FROM rv JOIN g ON true WHERE {usable_sql('v')}) WHERE rank <= {SEED_K})"""
 
 
@@ -221,7 +221,7 @@ _BM25 = f"""dt AS MATERIALIZED (SELECT entity_id, {_stems_sql('text')} AS t FROM
 
 
 def _ranked_sql(source: str, k: int) -> str:
-    return f"SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM {source}) WHERE rank <= {k}"
+    return f"SELECT query_id, entity_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM {source}) WHERE rank <= {k}"
 
 
 @query(with_(E_SQL, G_SQL, _BM25) + _ranked_sql("bm", K))
@@ -360,7 +360,7 @@ def boosts(spark: SparkSession, d: str) -> DataFrame:
     return ranking.remote_trust(ranking.gravity(rows, pull)).select("entity_id", F.round("score", 6).alias("score"))
 
 
-@query(with_(E_SQL, A_SQL, G_SQL) + f", t AS ({_topk_sql('vector', chr(39) + 'x' + chr(39) + ' = ' + chr(39) + 'x' + chr(39), 40)}) SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC NULLS LAST, rank) AS place FROM t LEFT JOIN a USING (entity_id)")
+@query(with_(E_SQL, A_SQL, G_SQL) + f", t AS ({_topk_sql('vector', chr(39) + 'x' + chr(39) + ' = ' + chr(39) + 'x' + chr(39), 40)}) SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY access_count DESC NULLS LAST, rank)::INT AS place FROM t LEFT JOIN a USING (entity_id)")
 def sort_option(spark: SparkSession, d: str) -> DataFrame:
     """R-14: hits by access count, the previous order among equals."""
     hits = vec.top_k(vec.score_against(b.entities(spark, d), b.vector_queries(spark, d), 40), 40).join(b.accesses(spark, d), "entity_id", "left")
