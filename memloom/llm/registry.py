@@ -131,7 +131,17 @@ _P5_ROWS = """{c}_e AS MATERIALIZED (
       AND len(list_filter({c}, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter({c}, lambda x: x <> 0)) > 0
     GROUP BY entity_id)"""
 
+#: All pairs by an inverted list of shingles.
+_P3 = """
+    WITH t AS (SELECT job_id AS id, text FROM direct_jobs WHERE text IS NOT NULL UNION SELECT record_id, content FROM ingest_records WHERE content IS NOT NULL),
+    w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+    s AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+    SELECT id_a, id_b FROM p JOIN n u ON u.id = id_a JOIN n v ON v.id = id_b WHERE k >= 0.6 * (u.n + v.n - k) - 1e-9"""
+
 ORACLE = {
+    "p3_found": _P3,
     "p5_found": "WITH " + ", ".join(_P5_ROWS.format(c=c) for c in ("vector", "gnn_vector"))
     + " SELECT DISTINCT space, least(x, y) AS entity_a, greatest(x, y) AS entity_b FROM ("
     + " UNION ALL ".join("(" + _P5_SPACE.format(c=c) + ")" for c in ("vector", "gnn_vector")) + ")",
