@@ -42,7 +42,7 @@ FUNCTION_WORDS = frozenset(
     "haben wir sie er es ich ihr von vom zu zum zur mit ohne nach vor seit bis bei für gegen durch um als wie wenn weil dass ob "
     "obwohl warum noch nie nur auch aus auf in im am an jeden jede jedes niemand bitte "
     # French
-    "le la les l un une des du de d et ou mais ni ne pas plus que qui quoi dont où est sont était il elle ils elles on nous vous "
+    "le la les l un une des du de d à et ou mais ni ne pas plus que qui quoi dont où est sont était il elle ils elles on nous vous "
     "je ce cet cette ces son sa ses leur leurs au aux en dans par pour sur sous avec sans avant après depuis pendant chaque "
     "personne pourquoi n s c j qu faudra côté "
     # Spanish
@@ -57,9 +57,9 @@ WEAK = frozenset("in en me pas no for".split())
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s\"'<>\])]+|(?<![\w@./-])(?:[\w-]+\.)+[a-z]{2,12}(?:/[^\s\"'<>\])]*)?(?![\w])", re.I)
 _TAG = re.compile(r"</?[a-z][^>]*>", re.I)
-_CONTENT = re.compile(r"content\s*=\s*[\"']([^\"']*)[\"']", re.I)
+_CONTENT = re.compile(r"=\s*[\"']([^\"'<>]*\s[^\"'<>]*)[\"']")  # attribute values of several words
 _BBCODE = re.compile(r"\[/?(?:url|b|i|img|size|color)\b[^\]]*\]", re.I)
-_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_WORDS = re.compile(r"[^\W_]+")
 _PRICE = re.compile(r"(?:[$€£¥₽]\s?\d[\d.,]*|\d[\d.,]*\s?(?:EUR|USD|GBP|JPY|RUB|CNY|руб|元|円|€|\$|£|₽))", re.I)
 _HASHTAG = re.compile(r"(?<!\w)#[^\W\d_][\w-]*")
 _BULLET = re.compile(r"^\s*(?:[-*•+]|\d+[.)]|\[[ xX]\]|[-*] \[[ xX]\])\s+")
@@ -67,7 +67,7 @@ _LOG = re.compile(r"^\[?\d[\d:., TZ/+-]{7,}\]?\s+\[?(?:TRACE|DEBUG|INFO|WARN|WAR
 _CHECK = re.compile(r"(?:\.\.\.+|:)\s*(?:ok|failed|passed|skipped|ignored|error)\s*$", re.I)
 _CODE = re.compile(
     r"^\s*(?:def |class |return\b|let |const |var |import |from \w+ import|if .*:$|elif |else:|for .*:$|while .*:$|fn |func |#include|//|/\*|\}|\{|@\w+)"
-    r"|[\w\])]\s*(?:\+=|-=|==|!=|=>|->|:=|&&|\|\|)\s*\S|\w\(.*\)\s*[;:{]|\w::\w|;\s*$|^\s*[\w.-]+\s*=\s*\S|^\s*[\w-]+:\s+[A-Z0-9_]+(?:[.,]\d+)*\s*(?:#|$)"
+    r"|[\w\])]\s*(?:\+=|-=|==|!=|=>|->|:=|&&|\|\|)\s*\S|\w\(.*\)\s*[;:{]|\w::\w|^[^;]*;\s*$|^\s*[\w.-]+\s*=\s*\S|^\s*[\w-]+:\s+[A-Z0-9_]+(?:[.,]\d+)*\s*(?:#|$)"
 )
 _JSON = re.compile(r"^\s*[\[{].*[\]}],?\s*$|^\s*\"[^\"]+\"\s*:")
 _ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{40,}")
@@ -142,7 +142,7 @@ def _line(line: str) -> tuple[int, list[str], float]:
     share = few / len(named) if named else 0.0
     cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
     # without blanks between words, terms are whole clauses, so recurrence says nothing
-    clauses = cjk >= 8 and bool(_CJK_SENTENCE.search(bare)) and cjk / max(1, len(named)) > 6
+    clauses = cjk >= 8 and bool(_CJK_SENTENCE.search(bare)) and cjk / max(1, len(named)) > 4
     sentence = clauses or (share >= 0.15 and len(named) >= 4)
     if linked:
         text = sum(map(len, named))
@@ -161,7 +161,7 @@ def _line(line: str) -> tuple[int, list[str], float]:
 
 def _stuffed(terms: list[str], share: float) -> bool:
     """Whether a sequence of terms repeats too regularly for sentences."""
-    if len(terms) < 12 or share > 0.3:
+    if len(terms) < 12 or share > 0.3 or share > 0.15 and len(terms) < 24:
         return False
     content = [t for t in terms if t not in FUNCTION_WORDS]
     regular, lag, top = recurrence(content)
@@ -188,7 +188,9 @@ def junk_share(text: str | None) -> float:
             if _stuffed(terms, few):
                 return size
             stops = sum(len(_STOP.findall(b[3])) for b in block)
-            if few < 0.05 and named >= 6 and (stops == 0 or named / stops < 5 or named / stops > 40):
+            if few < 0.05 and named >= 6 and (
+                stops == 0 or named / stops < 5 or named / stops > 40 or len(block) >= 4 and stops <= 0.25 * len(block)
+            ):
                 return size
         return 0
 
