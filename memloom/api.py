@@ -70,7 +70,10 @@ class MemoryEngine:
 
     def _attractors(self) -> list[Row]:
         named = self.kerns.where((F.col("parent_id") == "root") & ~F.coalesce("graviton_text", F.lit("")).isin("", "generic") & vec.usable(F.col("graviton_vec")))
-        return named.orderBy("kern_id").limit(4096).collect()
+        rows = named.orderBy("kern_id").limit(4097).collect()
+        if len(rows) > 4096:
+            raise ValueError("too many attractors")
+        return rows
 
     # -- reading
     def query(self, text: str, k: int = 10, mode: str | None = None, options: filters.QueryOptions | None = None, now: datetime | str | None = None) -> DataFrame:
@@ -167,7 +170,7 @@ class MemoryEngine:
             return {"inserted": 0, "merged": 0}
         store = self.entities.where("status <> 'superseded'")
         same = new.select("entity_id").join(store.select("entity_id"), "entity_id", "left_semi").select(F.col("entity_id").alias("query_id"), "entity_id")
-        near = search.nearest_other(new.select(F.col("entity_id").alias("query_id"), "vector"), store, dim[0][0], 1, self.config["ingest"]["dedup_threshold"], slices=8)
+        near = search.nearest_other(new.select(F.col("entity_id").alias("query_id"), "vector"), store, dim[0][0], 1, self.config["ingest"]["dedup_threshold"])
         matches = written(same.unionByName(near.select("query_id", "entity_id")).dropDuplicates(["query_id"]))
         updated, fresh, rephrases = writes.merge_duplicates(store, new, matches)
         fresh = written(fresh)
@@ -176,7 +179,7 @@ class MemoryEngine:
         u = updated.select("entity_id", F.col("conf_alpha").alias("a"), F.col("valid_until").alias("t"))
         kept = self.entities.join(u, "entity_id", "left").withColumn("conf_alpha", F.coalesce(F.col("a").cast("float"), "conf_alpha")).withColumn("valid_until", F.coalesce("t", "valid_until")).drop("a", "t")
         everything = kept.unionByName(placed, allowMissingColumns=True)
-        others = search.nearest_other(fresh.select(F.col("entity_id").alias("query_id"), "vector"), everything, dim[0][0], 1, slices=8)
+        others = search.nearest_other(fresh.select(F.col("entity_id").alias("query_id"), "vector"), everything, dim[0][0], 1)
         alive = everything.select("entity_id")
         edges = writes.similarity_edges(others).unionByName(writes.provenance_edges(rows), allowMissingColumns=True).unionByName(rephrases, allowMissingColumns=True)
         edges = edges.join(alive.withColumnRenamed("entity_id", "from_id"), "from_id", "left_semi")

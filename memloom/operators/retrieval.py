@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import scalars as sc
@@ -74,12 +74,20 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
         "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"),
         F.when((F.size("vector") == F.size("qv")) & vec.usable(F.col("vector")), F.col("vector")).alias("vector"),
     ))
-    a = nodes.select("query_id", F.col("entity_id").alias("u"), F.col("vector").alias("va"))
-    z = nodes.select("query_id", F.col("entity_id").alias("v"), F.col("vector").alias("vb"))
+    a = nodes.select("query_id", F.col("entity_id").alias("u"), F.col("vector").alias("va"), F.col("cosine").alias("cu"))
+    z = nodes.select("query_id", F.col("entity_id").alias("v"), F.col("vector").alias("vb"), F.col("cosine").alias("cv"))
     edges = links.join(a, "u").join(z, ["query_id", "v"]).join(F.broadcast(q), "query_id")
     mid = F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), vec.cosine(vec.average_vec(F.col("va"), F.col("vb")), F.col("qv"))).otherwise(0.0)
-    edges = edges.select("query_id", "reason_id", "u", "v", F.round(sc.edge_evidence(mid, F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
-    return walks.expand(seeds, nodes.select("query_id", "entity_id", "cosine"), edges, w_content, s.max_expansions)
+    edges = edges.select("query_id", "reason_id", "u", "v", "cu", "cv", F.round(sc.edge_evidence(mid, F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
+    # A walk pops at most max_expansions entities, so of a hub's neighbours only as many of the best can matter: this
+    # bounds what a query gathers, whatever the degree, and is a ranked limit before the shuffle.
+    for end, cos in (("u", "cv"), ("v", "cu")):
+        best = Window.partitionBy("query_id", end).orderBy(F.desc(w_content * F.coalesce(cos, F.lit(0.0)) + F.col("evidence")), "reason_id")
+        edges = edges.withColumn("n", F.row_number().over(best)).where(F.col("n") <= s.max_expansions).drop("n")
+    edges = written(edges.select("query_id", "reason_id", "u", "v", "evidence"))
+    ends = edges.select("query_id", F.explode(F.array("u", "v")).alias("entity_id")).unionByName(seeds.select("query_id", "entity_id")).distinct()
+    nodes = nodes.select("query_id", "entity_id", "cosine").join(ends, ["query_id", "entity_id"], "left_semi")
+    return walks.expand(seeds, nodes, edges, w_content, s.max_expansions)
 
 
 def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),

@@ -18,6 +18,8 @@ BLEND_CONTENT, BLEND_GNN = 0.4, 0.6
 #: Lexical weights (fixed values).
 K1, B = 1.2, 0.75
 IMPORTANT_COSINE, IMPORTANT_ACCESSES = 0.20, 3
+#: Rows of a slice or block of a nearest-other join (expected).
+BLOCK_ROWS = 20_000
 
 Queries = list[tuple[str, list]]
 
@@ -145,17 +147,21 @@ def _slice_topk(asks: pd.DataFrame, store: pd.DataFrame, k: int, least: float) -
     return pd.concat(out)
 
 
-def nearest_other(asking: DataFrame, store: DataFrame, dim: int, k: int, least: float = -1.0, slices: int = 64) -> DataFrame:
+def nearest_other(asking: DataFrame, store: DataFrame, dim: int, k: int, least: float = -1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """V-14, W-04: for each asking row the k nearest other stored rows, exactly, in blocks.
 
-    ``asking(query_id, vector)`` is a stated query set; ``store(entity_id, vector)`` is cut into ``slices`` by a hash, every
-    asking row meets every slice, a slice keeps its best k per asking row, and those are ranked. What is shuffled is
-    the store once and the query set ``slices`` times; no pair leaves a task but the best.
+    ``asking(query_id, vector)`` is a stated query set; ``store(entity_id, vector)`` is cut into slices and the query set into
+    blocks, by a hash, of about ``block_rows`` rows each. Every block meets every slice in a task of bounded size, which
+    keeps its best k per asking row; those are ranked. No pair leaves a task but the best.
     """
     ok = (F.size("vector") == dim) & vec.usable(F.col("vector"))
-    s = store.where(ok).select("entity_id", F.col("vector").alias("sv"), F.pmod(F.xxhash64("entity_id"), F.lit(slices)).cast("int").alias("slice"))
-    a = asking.where(ok).select("query_id", F.col("vector").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    met = a.groupBy("slice").cogroup(s.groupBy("slice")).applyInPandas(
+    s = store.where(ok).select("entity_id", F.col("vector").alias("sv"))
+    a = asking.where(ok).select("query_id", F.col("vector").alias("qv"))
+    slices, blocks = (max(1, -(-x.count() // block_rows)) for x in (s, a))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    s = s.withColumn("slice", F.pmod(F.xxhash64("entity_id"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
+    a = a.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
+    met = a.groupBy("slice", "block").cogroup(s.groupBy("slice", "block")).applyInPandas(
         lambda x, y: _slice_topk(x, y, k, least), "query_id string, entity_id string, cosine double"
     )
     return vec.top_k(met.where(F.col("query_id") != F.col("entity_id")), k)

@@ -239,12 +239,11 @@ def list_gravitons(kerns: DataFrame, entities: DataFrame) -> DataFrame:
 
 def add_claim_kind(registry: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """W-17: the registry (child, parent) with a kind below its parents; unknown parents, itself and cycles are refused."""
-    known = {r[0] for r in registry.select("child").union(registry.select("parent")).distinct().limit(10_000).collect()} | {"fact"}
-    below = {r[0] for r in filters.closure(registry.sparkSession, registry).where(F.col("start") == child).select("reached").limit(10_000).collect()}
+    below = filters.closure(registry.sparkSession, registry).where(F.col("start") == child)
     for p in parents:
-        if p not in known:
+        if p != "fact" and registry.where((F.col("child") == p) | (F.col("parent") == p)).isEmpty():
             raise ValueError(f"unknown parent {p!r}")
-        if p == child or p in below:
+        if p == child or not below.where(F.col("reached") == p).isEmpty():
             raise ValueError(f"{child!r} can't be below {p!r}")
     return registry.unionByName(registry.sparkSession.createDataFrame([(child, p) for p in parents], "child string, parent string")).distinct()
 

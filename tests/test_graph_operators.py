@@ -135,7 +135,7 @@ def test_nearest_other_is_exact(spark):
     x = rng.normal(size=(300, 8))
     x[150:160] = x[:10]
     rows = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)], "entity_id string, vector array<float>")
-    got = {r.query_id: r.entity_id for r in search.nearest_other(rows.selectExpr("entity_id as query_id", "vector"), rows, 8, 1, slices=5).collect()}
+    got = {r.query_id: r.entity_id for r in search.nearest_other(rows.selectExpr("entity_id as query_id", "vector"), rows, 8, 1, block_rows=70).collect()}
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = np.round(u @ u.T, 6)
