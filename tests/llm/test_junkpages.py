@@ -61,7 +61,7 @@ def test_operator(spark):
 
 
 def test_agrees_with_reviews(spark):
-    """Held-out agreement with people's verdicts, some of which are wrong, on all reviewed documents."""
+    """Agreement with people's verdicts, some of which are wrong, on all reviewed documents."""
     from conftest import DATA
 
     d = DATA.replace("0.001", "0.1")
