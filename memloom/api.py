@@ -82,7 +82,7 @@ class MemoryEngine:
         r = self.config["retrieval"]
         with self.profile.phase("embed"):
             vector = self.embedder([text])[0]
-        s = retrieval.Settings(seed_k=r["seed_k"], max_expansions=r["max_expansions"], deliver=r["deliver"], hops=r["hops"], floor=r["floor"],
+        s = retrieval.Settings(seed_k=r["seed_k"], max_expansions=r["max_expansions"], deliver=r["deliver"], floor=r["floor"],
                                mode=mode or r["mode"], pagerank_rounds=r["pagerank_rounds"], lexical_weight=r["lexical_weight"])
         asked = [Row(kern_id="query", graviton_vec=vector, graviton_text=text, inner_radius=0.0, outer_radius=1.0, mass=0.0)]
         with self.profile.phase("retrieve"):

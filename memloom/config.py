@@ -8,7 +8,7 @@ from pathlib import Path
 
 #: Defaults by section.
 DEFAULTS = {
-    "retrieval": {"seed_k": 25, "max_expansions": 800, "deliver": 40, "hops": 2, "floor": 0.0, "mode": "hybrid", "pagerank_rounds": 10, "lexical_weight": 0.0},
+    "retrieval": {"seed_k": 25, "max_expansions": 800, "deliver": 40, "floor": 0.0, "mode": "hybrid", "pagerank_rounds": 10, "lexical_weight": 0.0},
     "heat": {"half_life_secs": 30 * 86_400, "evidence_half_life_secs": 0},
     "ingest": {"dedup_threshold": 0.98, "poll_secs": 5, "retention_secs": {}, "review": {}, "dedup_by_kind": {}},
     "store": {"cold_cap": 50_000},
@@ -19,7 +19,7 @@ PRESETS = {
     "tight": {"retrieval": {"seed_k": 10, "max_expansions": 250, "deliver": 12}, "heat": {"half_life_secs": 3 * 86_400}, "ingest": {"dedup_threshold": 0.90}},
 }
 _RANGES = {("ingest", "dedup_threshold"): (0.0, 1.0), ("retrieval", "floor"): (-10.0, 10.0), ("retrieval", "seed_k"): (1, 4096),
-           ("retrieval", "max_expansions"): (1, 1_000_000), ("retrieval", "deliver"): (1, 10_000), ("retrieval", "hops"): (0, 8),
+           ("retrieval", "max_expansions"): (1, 1_000_000), ("retrieval", "deliver"): (1, 10_000),
            ("heat", "half_life_secs"): (1, 10**10), ("ingest", "poll_secs"): (1, 86_400), ("store", "cold_cap"): (1, 10**12)}
 
 

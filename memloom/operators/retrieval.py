@@ -5,13 +5,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import scalars as sc
 from memloom.functions import vec
 from memloom.operators import filters, ranking, search, walks
-from memloom.session import written
+from memloom.session import small, written
 
 GC_HALF_LIFE_S = 7 * 86_400
 
@@ -23,7 +23,6 @@ class Settings:
     seed_k: int = 25
     max_expansions: int = 800
     deliver: int = 40
-    hops: int = 2
     floor: float = 0.0
     mode: str = "hybrid"
     pagerank_rounds: int = 10
@@ -62,32 +61,26 @@ def pooled_seeds(hits: DataFrame, important: DataFrame, s: Settings) -> DataFram
 
 
 def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None) -> DataFrame:
-    """R-07, R-08: walks of every query over its own neighbourhood."""
+    """R-07, R-08: walks of every query, each over what it reaches."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
         seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
-    links = walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score")
-    near = walks.neighbourhood(links.select("reason_id", "u", "v"), seeds, s.hops)
-    nodes = near.join(entities.select("entity_id", "vector"), "entity_id")
-    q = entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>")
-    nodes = written(nodes.join(F.broadcast(q), "query_id").select(  # a query list is bounded
-        "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"),
-        F.when((F.size("vector") == F.size("qv")) & vec.usable(F.col("vector")), F.col("vector")).alias("vector"),
-    ))
-    a = nodes.select("query_id", F.col("entity_id").alias("u"), F.col("vector").alias("va"), F.col("cosine").alias("cu"))
-    z = nodes.select("query_id", F.col("entity_id").alias("v"), F.col("vector").alias("vb"), F.col("cosine").alias("cv"))
-    edges = links.join(a, "u").join(z, ["query_id", "v"]).join(F.broadcast(q), "query_id")
-    mid = F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), vec.cosine(vec.average_vec(F.col("va"), F.col("vb")), F.col("qv"))).otherwise(0.0)
-    edges = edges.select("query_id", "reason_id", "u", "v", "cu", "cv", F.round(sc.edge_evidence(mid, F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
-    # A walk pops at most max_expansions entities, so of a hub's neighbours only as many of the best can matter: this
-    # bounds what a query gathers, whatever the degree, and is a ranked limit before the shuffle.
-    for end, cos in (("u", "cv"), ("v", "cu")):
-        best = Window.partitionBy("query_id", end).orderBy(F.desc(w_content * F.coalesce(cos, F.lit(0.0)) + F.col("evidence")), "reason_id")
-        edges = edges.withColumn("n", F.row_number().over(best)).where(F.col("n") <= s.max_expansions).drop("n")
-    edges = written(edges.select("query_id", "reason_id", "u", "v", "evidence"))
-    ends = edges.select("query_id", F.explode(F.array("u", "v")).alias("entity_id")).unionByName(seeds.select("query_id", "entity_id")).distinct()
-    nodes = nodes.select("query_id", "entity_id", "cosine").join(ends, ["query_id", "entity_id"], "left_semi")
-    return walks.expand(seeds, nodes, edges, w_content, s.max_expansions)
+    half = written(walks.half_edges(walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score")), "half")
+    q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
+    vectors = written(entities.select("entity_id", "vector"), "vectors")  # every round reads them
+    cosine = F.round(vec.cosine(F.col("vector"), F.col("qv")), 6)
+
+    def read(front: DataFrame) -> DataFrame:
+        """Half-edges from ``front(query_id, entity_id)``, to known entities."""
+        near = half.join(small(front.withColumnRenamed("entity_id", "u")), "u").join(vectors.withColumnRenamed("entity_id", "v"), "v")
+        near = near.join(vectors.select(F.col("entity_id").alias("u"), F.col("vector").alias("va")), "u").join(q, "query_id")
+        near = near.repartition(entities.sparkSession.sparkContext.defaultParallelism).withColumn("cosine", cosine).withColumnRenamed("vector", "vb")
+        usable = [(F.size(c) == F.size("qv")) & vec.usable(F.col(c)) for c in ("va", "vb")]
+        mid = F.when(usable[0] & usable[1], vec.cosine(vec.average_vec(F.col("va"), F.col("vb")), F.col("qv"))).otherwise(0.0)
+        return near.select("query_id", "reason_id", "u", "v", "cosine", F.round(sc.edge_evidence(mid, F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
+
+    cosines = written(seeds.select("query_id", "entity_id").distinct().join(vectors, "entity_id").join(q, "query_id").select("query_id", "entity_id", cosine.alias("cosine")))
+    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions)
 
 
 def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),

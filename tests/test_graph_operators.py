@@ -68,6 +68,31 @@ def test_beam_ceiling_and_limit():
     assert set(beam([("seed", None, "s", None, 0.3), ("node", None, "s", None, 0.3), ("node", None, "n", None, 0.5), ("edge", "e", "s", "n", 0.2)], most=1).entity_id) == {"s"}
 
 
+def store(spark, links):
+    """Entities and edges of a small graph: near the query are those named q*, all others at right angles to it."""
+    ids = sorted({e for link in links for e in link})
+    entities = spark.createDataFrame([(e, [1.0, 0.01 * i] if e[0] == "q" else [0.0, 1.0]) for i, e in enumerate(ids)], "entity_id string, vector array<float>")
+    reasons = spark.createDataFrame([(f"e{i:04}", u, v, 0, 0.9, None) for i, (u, v) in enumerate(links)],
+                                    "reason_id string, from_id string, to_id string, kind int, score double, to_net_id string")
+    return entities, reasons
+
+
+def walked(spark, links, seeds, most=800):
+    entities, reasons = store(spark, links)
+    rows = spark.createDataFrame([("q", e, x) for e, x in seeds], "query_id string, entity_id string, score double")
+    return retrieval.expansion(entities, reasons, [("q", [1.0, 0.0])], retrieval.Settings(max_expansions=most), rows).collect()
+
+
+def test_walk_has_no_hop_limit(spark):
+    line = [f"n{i}" for i in range(8)]
+    links = list(zip(line, line[1:]))
+    rows = walked(spark, links, [("n0", 0.9)])
+    assert {r.entity_id for r in rows if r.kind == "hit"} == set(line)
+    assert max(len(r.nodes) for r in rows) == 15
+    # pops are the only limit
+    assert {r.entity_id for r in walked(spark, links, [("n0", 0.9)], most=5) if r.kind == "hit"} == set(line[:5])
+
+
 def test_ancestors_cycle(spark):
     links = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "c")], "newer string, older string")
     got = {(r.entity_id, r.depth) for r in walks.ancestors(spark.createDataFrame([("c",)], "head string"), links).collect()}
