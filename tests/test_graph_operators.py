@@ -93,6 +93,18 @@ def test_walk_has_no_hop_limit(spark):
     assert {r.entity_id for r in walked(spark, links, [("n0", 0.9)], most=5) if r.kind == "hit"} == set(line[:5])
 
 
+def test_hub_beyond_the_pops(spark):
+    # z is the last of the hub's neighbours, for both directions of its edge; it is a seed, and the only way to the hub
+    links = [("hub", f"q{i}") for i in range(9)] + [("z", "hub"), ("hub", "behind")]
+    got, want = ({r.entity_id: r.score for r in walked(spark, links, [("z", 0.9)], most) if r.kind == "hit"} for most in (6, 800))
+    assert "hub" in got and len(got) == 6 and "behind" in want and len(want) == 12
+    # credit of the hub reaches a neighbour beyond those it may follow: z as a seed is popped first, the hub vouches later
+    got, want = ({r.entity_id: r.score for r in walked(spark, links, [("hub", 0.9), ("z", 0.2)], most) if r.kind == "hit"} for most in (11, 800))
+    few = {r.entity_id: r.score for r in walked(spark, links, [("hub", 0.9), ("z", 0.89)], 4) if r.kind == "hit"}
+    assert few["z"] > 0.89 and len(few) == 4
+    assert got["z"] == pytest.approx(want["z"])
+
+
 def test_ancestors_cycle(spark):
     links = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "c")], "newer string, older string")
     got = {(r.entity_id, r.depth) for r in walks.ancestors(spark.createDataFrame([("c",)], "head string"), links).collect()}
