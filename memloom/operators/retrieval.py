@@ -25,7 +25,7 @@ class Settings:
     deliver: int = 40
     floor: float = 0.0
     mode: str = "hybrid"
-    pagerank_rounds: int = 10
+    pagerank_rounds: int = 25
     pagerank_top: int = 100
     lexical_weight: float = 0.0
     half_life_days: int = 30
@@ -107,7 +107,7 @@ def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attra
     dense = written(pooled_seeds(hits, important, s))
     seeds = dense
     if lexical is not None:
-        ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds, tolerance=None)
+        ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds)
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
         fused = ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k)
         cos = vec.score_against(entities, queries).withColumn("cosine", F.round("cosine", 6))

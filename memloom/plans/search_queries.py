@@ -451,14 +451,14 @@ def access_cooldown(spark: SparkSession, d: str) -> DataFrame:
 _PR_ROUNDS = 4
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(rounds: int = _PR_ROUNDS) -> str:
     parts = [E_SQL, R_SQL, G_SQL,
              "ed AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, count(*)::DOUBLE AS w FROM r WHERE NOT starts_with(kern_id, 'remote-') AND from_id <> to_id "
              "AND from_id IN (SELECT entity_id FROM e) AND to_id IN (SELECT entity_id FROM e) GROUP BY ALL)",
              "sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ed)",
              f"sd AS (SELECT query_id, entity_id, greatest(cosine, 0) AS s FROM ({_topk_sql('vector', chr(39) + 'a' + chr(39) + ' <> status', SEED_K)}))".replace("'a' <> status", "status <> 'superseded'"),
              "te AS MATERIALIZED (SELECT query_id, entity_id, s / sum(s) OVER (PARTITION BY query_id) AS t FROM sd)", "k0 AS (SELECT query_id, entity_id, t AS rank FROM te)"]
-    for i in range(1, _PR_ROUNDS + 1):
+    for i in range(1, rounds + 1):
         parts += [
             f"m{i} AS (SELECT query_id, dst AS entity_id, 0.85 * sum(rank * share) AS inflow FROM k{i - 1} JOIN sh ON src = entity_id GROUP BY ALL)",
             f"c{i} AS (SELECT query_id, sum(inflow) AS carried FROM m{i} GROUP BY query_id)",
@@ -466,7 +466,7 @@ def _pagerank_sql() -> str:
             f"k{i} AS MATERIALIZED (SELECT coalesce(m.query_id, b.query_id) AS query_id, coalesce(m.entity_id, b.entity_id) AS entity_id, coalesce(inflow, 0) + coalesce(base, 0) AS rank "
             f"FROM m{i} m FULL JOIN b{i} b ON m.query_id = b.query_id AND m.entity_id = b.entity_id)",
         ]
-    return with_(*parts) + f"SELECT query_id, entity_id, round(rank, 6) AS rank FROM k{_PR_ROUNDS}"
+    return with_(*parts) + f"SELECT query_id, entity_id, round(rank, 6) AS rank FROM k{rounds}"
 
 
 @query(_pagerank_sql())
@@ -477,6 +477,14 @@ def pagerank_personalised(spark: SparkSession, d: str) -> DataFrame:
     return walks.pagerank(walks.voting_edges(b.reasons(spark, d), e), seeds, _PR_ROUNDS, tolerance=None).select("query_id", "entity_id", F.round("rank", 6).alias("rank"))
 
 
+@query(_pagerank_sql(25))
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """R-04 as it is: up to 25 rounds, ending once settled to 1e-9."""
+    e = b.entities(spark, d)
+    seeds = search.vector_topk(e, b.vector_queries(spark, d), SEED_K).select("query_id", "entity_id", F.col("cosine").alias("score"))
+    return walks.pagerank(walks.voting_edges(b.reasons(spark, d), e), seeds).select("query_id", "entity_id", F.round("rank", 6).alias("rank"))
+
+
 @query()
 def beam_expand(spark: SparkSession, d: str) -> DataFrame:
     """R-07, R-08: best-first walks from every attractor's seeds, with traversal credit."""

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from memloom import config
 from memloom.functions import vec
 from memloom.operators import filters, ranking, retrieval, search, stats, walks
 
@@ -41,6 +42,23 @@ def test_pagerank(spark):
     assert sum(more.values()) == pytest.approx(1)
 
 
+def test_pagerank_at_its_defaults(spark):
+    # a line that ends in a cycle: ten rounds reach n10 only
+    links = [(i, i + 1) for i in range(15)] + [(15, 12)]
+    edges = spark.createDataFrame([(f"n{u}", f"n{v}", 1) for u, v in links], "src string, dst string, w int")
+    seeds = spark.createDataFrame([("q", "n0", 1.0)], "query_id string, entity_id string, score double")
+    rank = tele = np.eye(16)[0]
+    for _ in range(25):
+        flow = np.zeros(16)
+        for u, v in links:
+            flow[v] += 0.85 * rank[u]
+        rank = flow + (1 - flow.sum()) * tele
+    s = retrieval.Settings()
+    got = {r.entity_id: r["rank"] for r in walks.pagerank(edges, seeds, s.pagerank_rounds).collect()}
+    assert s.pagerank_rounds == config.DEFAULTS["retrieval"]["pagerank_rounds"] == 25
+    assert got == pytest.approx({f"n{i}": x for i, x in enumerate(rank)}, abs=1e-8)
+
+
 def test_uniform_teleport_without_positive_seeds(spark):
     edges = spark.createDataFrame([], "src string, dst string, w int")
     seeds = spark.createDataFrame([("q", "a", -1.0), ("q", "b", 0.0)], "query_id string, entity_id string, score double")
