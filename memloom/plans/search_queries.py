@@ -535,3 +535,10 @@ def dead_partitions(spark: SparkSession, d: str) -> DataFrame:
     """M-13: partitions to evict, were only the lower half of the partitions filled."""
     e = table(spark, d, "entities").where("kern_id < 'kern-8'")
     return walks.dead_partitions(spark, table(spark, d, "kerns"), e)
+
+
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT kern_id, parent_id, kern_id = 'root' OR coalesce(graviton_text, '') <> '' OR kern_id IN (SELECT kern_id FROM entities) AS own FROM kerns),
+  u AS (SELECT kern_id, parent_id FROM k WHERE own UNION SELECT k.kern_id, k.parent_id FROM u JOIN k ON k.kern_id = u.parent_id) SELECT kern_id FROM k WHERE kern_id NOT IN (SELECT kern_id FROM u)""")
+def dead_partitions_all(spark: SparkSession, d: str) -> DataFrame:
+    """M-13: partitions to evict, over all entities."""
+    return walks.dead_partitions(spark, table(spark, d, "kerns"), table(spark, d, "entities"))

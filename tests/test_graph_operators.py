@@ -129,6 +129,17 @@ def test_ancestors_cycle(spark):
     assert got == {("b", 1), ("a", 2)}
 
 
+def test_dead_partitions_of_a_half_filled_tree(spark):
+    from memloom.plans import registry
+
+    kerns = spark.createDataFrame([("root", None, None), ("kern-1", "root", None), ("kern-2", "kern-1", None), ("kern-8", "root", None), ("kern-9", "kern-8", ""), ("kern-a", "root", "named")],
+                                  "kern_id string, parent_id string, graviton_text string")
+    held = spark.createDataFrame([("e1", "kern-2"), ("e9", "kern-9")], "entity_id string, kern_id string")
+    dead = lambda e: {r.kern_id for r in walks.dead_partitions(spark, kerns, e).collect()}
+    assert dead(held) == set() and dead(held.where("kern_id < 'kern-8'")) == {"kern-8", "kern-9"}
+    assert "dead_partitions_all" in registry.queries()
+
+
 def test_section_dedup(spark):
     rows = [("q", "a", "doc#chunk0", 0.4, 3), ("q", "b", "doc#chunk1", 0.9, 1), ("q", "c", "other#chunk0", 0.5, 2), ("q", "d", None, 0.1, 4), ("q", "e", "", 0.1, 5)]
     hits = spark.createDataFrame(rows, "query_id string, entity_id string, section string, score double, rank int")
