@@ -260,7 +260,7 @@ def resolve_questions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def gcn_propagate(spark: SparkSession, d: str) -> DataFrame:
     """M-15 to M-17, G: structure vectors of partitions of 16 or more entities; figures that don't depend on summation order."""
-    v = maintenance.structure_vectors(b.entities(spark, d), b.reasons(spark, d), b.DIM, least=16, epochs=12)
+    v = maintenance.structure_vectors(b.entities(spark, d), b.reasons(spark, d), b.DIM, least=16)
     n = F.sqrt(F.aggregate("gnn_vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return v.groupBy("kern_id").agg(F.count("*").alias("n_vectors"), F.round(F.max(n), 3).alias("norm"), F.max(F.col("last_loss") < F.col("first_loss")).alias("learned"))
 

@@ -140,6 +140,18 @@ def test_dead_partitions_of_a_half_filled_tree(spark):
     assert "dead_partitions_all" in registry.queries()
 
 
+def test_structure_vectors_train_all_epochs(spark, monkeypatch):
+    from conftest import DATA
+
+    from memloom.operators import gnn, maintenance
+    from memloom.plans import upkeep_queries
+
+    seen, train = [], maintenance.structure_vectors
+    monkeypatch.setattr(maintenance, "structure_vectors", lambda *a, **k: seen.append(k.get("epochs", gnn.EPOCHS)) or train(*a, **k))
+    upkeep_queries.gcn_propagate(spark, DATA)
+    assert seen == [24]
+
+
 def test_section_dedup(spark):
     rows = [("q", "a", "doc#chunk0", 0.4, 3), ("q", "b", "doc#chunk1", 0.9, 1), ("q", "c", "other#chunk0", 0.5, 2), ("q", "d", None, 0.1, 4), ("q", "e", "", 0.1, 5)]
     hits = spark.createDataFrame(rows, "query_id string, entity_id string, section string, score double, rank int")
