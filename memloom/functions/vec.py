@@ -138,6 +138,47 @@ def _score(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: list,
         )
 
 
+def edge_cosines(batches: Iterator[pa.RecordBatch], names: list[str], queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Half-edges (query_id, reason_id, u, v, hub, score, va, vb, ka, kb) with the cosine of vb and of the midpoint of va and vb to
+    their query, or to every query where query_id is null. ``ka``, ``kb`` say whether a vector is usable: without both the
+    midpoint counts 0; an unusable vb counts by F-02, over the shorter length."""
+    norms = np.linalg.norm(queries, axis=1)
+    place = {n: i for i, n in enumerate(names)}
+    for batch in batches:
+        n, dim = batch.num_rows, queries.shape[1]
+        if not n:
+            continue
+        ka, kb = (np.asarray(batch.column(i).fill_null(False)).astype(bool) for i in (8, 9))
+        a, b = np.zeros((n, dim)), np.zeros((n, dim))
+        a[ka] = np.asarray(batch.column(6).filter(pa.array(ka)).flatten(), dtype=np.float64).reshape(-1, dim)
+        b[kb] = np.asarray(batch.column(7).filter(pa.array(kb)).flatten(), dtype=np.float64).reshape(-1, dim)
+        mid = ((a + b) / 2).astype(np.float32).astype(np.float64)
+        mid[~(ka & kb)] = 0
+        asked = batch.column(0).to_pylist()
+        if asked[0] is None:
+            rows, who = np.repeat(np.arange(n), len(names)), np.tile(np.arange(len(names)), n)
+        else:
+            rows, who = np.arange(n), np.array([place[x] for x in asked])
+        q, size = queries[who], norms[who]
+
+        def cos(x: np.ndarray) -> np.ndarray:
+            both = np.linalg.norm(x, axis=1)[rows] * size
+            dots = np.einsum("ij,ij->i", x[rows], q)
+            return np.divide(dots, both, out=np.zeros(len(rows)), where=both > 0)
+
+        near, between = cos(b), cos(mid)
+        odd = np.flatnonzero(~kb[rows])
+        for i, x in zip(odd.tolist(), batch.column(7).take(pa.array(rows[odd])).to_pylist()):
+            x = np.array([np.nan if e is None else e for e in x or []], dtype=np.float64)
+            y = queries[who[i]][: len(x)]
+            both = np.linalg.norm(x[:dim]) * np.linalg.norm(y)
+            near[i] = (x[:dim] @ y / both if np.isfinite(both) else np.nan) if not both <= 0 else 0.0
+        take = pa.array(rows)
+        cols = [pa.array([names[i] for i in who.tolist()], pa.string()), *[batch.column(i).take(take) for i in range(1, 6)],
+                pa.array(near, from_pandas=True), pa.array(between)]
+        yield pa.RecordBatch.from_arrays(cols, ["query_id", "reason_id", "u", "v", "hub", "score", "cosine", "mid"])
+
+
 def score_against(store: DataFrame, queries: list[tuple[str, list]], k: int = 0, least: float = -2.0) -> DataFrame:
     """(query_id, entity_id, cosine) of ``store(entity_id, vector)`` against a bounded list of query vectors.
 

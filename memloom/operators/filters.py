@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.scalars import Fixed
+from memloom.operators import walks
 from memloom.session import small
 
 
@@ -164,20 +165,12 @@ def resolve_ids(wanted: DataFrame, entities: DataFrame, aliases: DataFrame | Non
     return best.select("asked", "b.entity_id", "b.way")
 
 
-def closure(spark: SparkSession, edges: DataFrame, root_column: str = "child", depth: int = 64) -> DataFrame:
-    """P-06: (start, reached, depth) over ``edges(child, parent)``: what lies below each parent, itself included.
-
-    A recursive query with a path guard, so cycles end; for trees of bounded size such as kind registries.
-    """
-    edges.select("child", "parent").where("child is not null and parent is not null").distinct().createOrReplaceTempView("_closure_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE down(start, reached, depth, path) AS (
-          SELECT parent, parent, 0, array(parent) FROM (SELECT parent FROM _closure_edges UNION SELECT child FROM _closure_edges)
-          UNION ALL
-          SELECT d.start, e.child, d.depth + 1, concat(d.path, array(e.child))
-          FROM down d JOIN _closure_edges e ON e.parent = d.reached
-          WHERE NOT array_contains(d.path, e.child) AND d.depth < {depth})
-        SELECT start, reached, min(depth) AS depth FROM down GROUP BY start, reached""")
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """P-06: (start, reached, depth) over ``edges(child, parent)``: what lies below each parent, itself included, at its least depth."""
+    links = edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+    starts = links.select(F.explode(F.array("parent", "child")).alias("head")).distinct().select("head", F.col("head").alias("entity_id"), F.lit(0).alias("depth"))
+    below = walks.levels(starts, lambda at: at.join(links, F.col("entity_id") == F.col("parent")).select("head", F.col("child").alias("entity_id")))
+    return below.select(F.col("head").alias("start"), F.col("entity_id").alias("reached"), "depth")
 
 
 def of_kinds(rows: DataFrame, label: str, asked: list[str], registry: DataFrame) -> DataFrame:

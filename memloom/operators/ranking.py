@@ -114,25 +114,36 @@ def _mmr(group: pd.DataFrame, target: int, pool: int, lam: float) -> pd.DataFram
         out["rank"] = range(1, len(out) + 1)
         return out
     head = group.iloc[: min(pool, len(group))]
-    dim = max((len(v) for v in head["vector"] if v is not None), default=0)
+    vectors = [np.asarray(v if v is not None else [], dtype=np.float64) for v in head["vector"]]
+    dim = max(map(len, vectors), default=0)
+    whole, has = np.array([len(v) == dim and dim > 0 for v in vectors]), np.array([len(v) > 0 for v in vectors])
     m = np.zeros((len(head), dim))
-    has = np.zeros(len(head), dtype=bool)
-    for i, v in enumerate(head["vector"]):
-        if v is not None and len(v) == dim and dim:
-            x = np.asarray(v, dtype=np.float64)
-            n = np.linalg.norm(x)
-            has[i] = True
-            m[i] = x / n if n > 0 and np.isfinite(n) else 0
-    relevance = np.where(has & head["cosine"].notna(), head["cosine"].fillna(0), head["score"]).astype(float)
+    for i, v in enumerate(vectors):
+        n = np.linalg.norm(v) if whole[i] else 0.0
+        if n != 0:  # not finite: no cosine with anything
+            m[i] = v / n if np.isfinite(n) else np.nan
+
+    def near(i: int) -> np.ndarray:
+        """Cosines of all with i, over the shorter length; what isn't a number doesn't count."""
+        s = m @ m[i] if whole[i] else np.zeros(len(head))
+        for j in range(len(head)) if not whole[i] else np.flatnonzero(~whole & has).tolist():
+            k = min(len(vectors[i]), len(vectors[j]))
+            x, y = vectors[i][:k], vectors[j][:k]
+            both = np.linalg.norm(x) * np.linalg.norm(y)
+            s[j] = x @ y / both if both > 0 and np.isfinite(both) else 0.0
+        return np.where(np.isnan(s), -1.0, s)
+
+    relevance = np.where(has, head["cosine"].astype(float), head["score"].astype(float))
     worst, left, chosen = np.zeros(len(head)), np.ones(len(head), dtype=bool), []
     while len(chosen) < min(target, len(head)):
         value = np.round(lam * relevance - (1 - lam) * worst, 12)
+        value = np.where(np.isnan(value), -1e9, value)  # a relevance that isn't a number comes last
         value[~left] = -np.inf
         i = int(value.argmax())
         left[i] = False
         chosen.append(i)
         if has[i]:
-            worst = np.where(has, np.maximum(worst, m @ m[i]), worst)
+            worst = np.where(has, np.maximum(worst, near(i)), worst)
     out = pd.concat([head.iloc[chosen], group.iloc[len(head):]])[["query_id", "entity_id", "score"]].iloc[:target].copy()
     out["rank"] = range(1, len(out) + 1)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,73 +61,128 @@ def pooled_seeds(hits: DataFrame, important: DataFrame, s: Settings) -> DataFram
     return vec.top_k(pooled, s.seed_k, "score").select("query_id", "entity_id", "score")
 
 
-def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None) -> DataFrame:
-    """R-07, R-08: walks of every query, each over what it reaches."""
+def walk_graph(reasons: DataFrame, s: Settings) -> DataFrame:
+    """Half-edges (reason_id, u, v, score, hub) of the edges a walk may use, written."""
+    half = walks.half_edges(walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score"))
+    hubs = half.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > s.max_expansions).select("u", F.lit(True).alias("hub"))
+    return written(half.join(hubs, "u", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "half")
+
+
+def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None,
+              read_whole: int = walks.READ_WHOLE, half: DataFrame | None = None) -> DataFrame:
+    """R-07, R-08: walks of every query, each over what it reaches; a graph of at most ``read_whole`` half-edges over all
+    queries is read at once, a larger one round by round, with the same result."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
         seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
-    half = written(walks.half_edges(walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score")), "half")
+    half = half if half is not None else walk_graph(reasons, s)
     q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
-    vectors = written(entities.select("entity_id", "vector"), "vectors")  # every round reads them
-    cosine = F.round(vec.cosine(F.col("vector"), F.col("qv")), 6)
-
-    def read(front: DataFrame) -> DataFrame:
-        """Half-edges from ``front(query_id, entity_id)``, to known entities."""
-        near = half.join(small(front.withColumnRenamed("entity_id", "u")), "u").join(vectors.withColumnRenamed("entity_id", "v"), "v")
-        near = near.join(vectors.select(F.col("entity_id").alias("u"), F.col("vector").alias("va")), "u").join(q, "query_id")
-        near = near.repartition(entities.sparkSession.sparkContext.defaultParallelism).withColumn("cosine", cosine).withColumnRenamed("vector", "vb")
-        usable = [(F.size(c) == F.size("qv")) & vec.usable(F.col(c)) for c in ("va", "vb")]
-        mid = F.when(usable[0] & usable[1], vec.cosine(vec.average_vec(F.col("va"), F.col("vb")), F.col("qv"))).otherwise(0.0)
-        return near.select("query_id", "reason_id", "u", "v", "cosine", F.round(sc.edge_evidence(mid, F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
-
-    cosines = written(seeds.select("query_id", "entity_id").distinct().join(vectors, "entity_id").join(q, "query_id").select("query_id", "entity_id", cosine.alias("cosine")))
-    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions)
+    vectors = entities.select("entity_id", "vector")
+    tasks, names, matrix = entities.sparkSession.sparkContext.defaultParallelism, [str(n) for n, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
+    dim = matrix.shape[1] if len(queries) else 0
+
+    def scored(near: DataFrame, held: DataFrame) -> DataFrame:
+        """Half-edges with the cosine of v and of the midpoint, once or, without a query_id, for every query."""
+        usable = (F.size("vector") == dim) & vec.usable(F.col("vector"))
+        held = held.withColumn("ok", usable)
+        both = near.join(held.select(F.col("entity_id").alias("v"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "v").join(
+            held.select(F.col("entity_id").alias("u"), F.when(F.col("ok"), F.col("vector")).alias("va"), F.col("ok").alias("ka")), "u").repartition(tasks)
+        one = "query_id" if "query_id" in near.columns else F.lit(None).cast("string").alias("query_id")
+        out = both.select(one, "reason_id", "u", "v", "hub", "score", "va", "vb", "ka", "kb").mapInArrow(
+            lambda it: vec.edge_cosines(it, names, matrix), "query_id string, reason_id string, u string, v string, hub boolean, score double, cosine double, mid double")
+        return out.select("query_id", "reason_id", "u", "v", "hub", F.round("cosine", 6).alias("cosine"),
+                          F.round(sc.edge_evidence(F.col("mid"), F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
+
+    def read(front: DataFrame | None) -> DataFrame:
+        """Half-edges from ``front(query_id, entity_id)``, to known entities. Vectors are read for their ends only."""
+        if front is None:
+            return scored(half, vectors)
+        near = written(half.join(small(front.withColumnRenamed("entity_id", "u")), "u"), "near")
+        ends = written(near.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct(), "ends")
+        return scored(near, written(vectors.join(small(ends), "entity_id", "left_semi"), "ends"))
 
-
-def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),
-             options: filters.QueryOptions | None = None) -> DataFrame:
-    """Delivered results of every query: query_id, rank, entity_id, score, kind, kern_id, remote, confidence.
-
-    The queries are the attractors given: their vector and text. Seeds come from dense, lexical and important lists and
-    PageRank, fused by rank; fused seeds score by their cosine; the walk's and the seeds' scores pool by log-sum-exp.
-    Filters act in every seed list and again before delivery cuts the pool.
+    q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
+    cosines = written(seeds.select("query_id", "entity_id").distinct().join(vectors, "entity_id").join(q, "query_id").select(
+        "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine")))
+    n, hubs = half.agg(F.count("*"), F.coalesce(F.max("hub"), F.lit(False))).first()
+    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs, whole=n * len(queries) <= read_whole)
+
+
+def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),
+           options: filters.QueryOptions | None = None, trust: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and chains of every query.
+
+    Results: query_id, rank, entity_id, score, kind, kern_id, remote, confidence. Chains: query_id, chain_no, nodes, score, of
+    which no known entity fails the filters (P-15). The queries are the attractors given: their vector and text. Seeds come
+    from dense, lexical and important lists and PageRank, fused by rank (a query without text has its dense seeds alone);
+    fused seeds score by their cosine; the walk's and the seeds' scores pool by log-sum-exp. Filters act in every seed list
+    and again before delivery cuts the pool. Then come the asked order, sections (where entities have a source or a section),
+    diversity, and the late lexical bonus (where ``lexical_weight`` is positive).
     """
     options = options or filters.QueryOptions()
     keep = filters.predicate(options) if options.is_active else None
-    entities = written(entities)
     queries = [(r.kern_id, list(r.graviton_vec)) for r in attractors]
-    texts = [(r.kern_id, r.graviton_text) for r in attractors]
-    # independent of each other: their jobs share the cluster
-    with ThreadPoolExecutor(3) as pool:
-        coming = pool.submit(lambda: written(search.important(entities, accesses, queries, keep)))
+    texts = [(r.kern_id, r.graviton_text) for r in attractors if r.graviton_text]
+    spark = entities.sparkSession
+    hybrid = s.mode == "hybrid" and bool(texts)
+    # what doesn't depend on each other shares the cluster
+    with ThreadPoolExecutor(4) as pool:
+        reasons_coming = pool.submit(lambda: written(reasons, "reasons"))
+        accesses_coming = pool.submit(lambda: written(accesses, "accesses"))
+        entities = written(entities, "entities")
         passing = entities.where(keep).select("entity_id") if keep is not None else None
-        lexical_coming = pool.submit(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if s.mode == "hybrid" else None
+        lexical_coming = pool.submit(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if hybrid else None
+        reasons, accesses = reasons_coming.result(), accesses_coming.result()
         hits_coming = pool.submit(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
-        important, hits = coming.result(), hits_coming.result()
+        important_coming = pool.submit(lambda: written(search.important(entities, accesses, queries, keep)))
+        half_coming = pool.submit(lambda: walk_graph(reasons, s))
+        votes_coming = pool.submit(lambda: written(walks.voting_edges(reasons, entities), "votes")) if hybrid else None
+        dense = written(pooled_seeds(hits_coming.result(), important_coming.result(), s))
         lexical = lexical_coming.result() if lexical_coming else None
-    dense = written(pooled_seeds(hits, important, s))
+        half, votes = half_coming.result(), votes_coming.result() if votes_coming else None
+    important = important_coming.result()
+    q = F.broadcast(spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     seeds = dense
-    if lexical is not None:
-        ppr = walks.pagerank(walks.voting_edges(reasons, entities), dense.unionByName(lexical), s.pagerank_rounds)
+    if hybrid:
+        ppr = walks.pagerank(votes, dense.unionByName(lexical), s.pagerank_rounds)
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
-        fused = ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k)
-        cos = vec.score_against(entities, queries).withColumn("cosine", F.round("cosine", 6))
-        seeds = written(ranking.rescore(fused, cos))
-    walked = written(expansion(entities, reasons, queries, s, seeds)).where("kind = 'hit'").select("query_id", "entity_id", "score")
-    pooled = ranking.log_sum_exp(walked.unionByName(seeds), ["query_id", "entity_id"])
-    rows = pooled.withColumnRenamed("score", "merged").join(entities.withColumnRenamed("score", "own_score"), "entity_id").join(accesses, "entity_id", "left")
-    rows = ranking.confidence_boost(rows.withColumnRenamed("merged", "score"), now)
-    rows = ranking.remote_trust(ranking.gravity(rows, ranking.pulls(entities, [(r.kern_id, list(r.graviton_vec), r.mass) for r in attractors])))
+        fused = written(ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k), "fused")
+        texted = [n for n, _ in texts]
+        fused = fused.where(F.col("query_id").isin(texted))
+        cos = entities.select("entity_id", "vector").join(small(fused.select("query_id", "entity_id")), "entity_id").join(q, "query_id").select(
+            "query_id", "entity_id", F.nanvl(F.round(vec.cosine(F.col("vector"), F.col("qv")), 6), F.lit(0.0)).alias("cosine"))
+        seeds = written(ranking.rescore(fused, cos).unionByName(dense.where(~F.col("query_id").isin(texted))))
+    walked = expansion(entities, reasons, queries, s, seeds, half=half)
+    hits = walked.where("kind = 'hit'").select("query_id", "entity_id", "score")
+    pooled = written(ranking.log_sum_exp(hits.unionByName(seeds), ["query_id", "entity_id"]), "pool")
+    found = entities.join(small(pooled.select("entity_id").distinct()), "entity_id", "left_semi")
+    rows = found.withColumnRenamed("score", "own_score").join(small(pooled), "entity_id").join(accesses, "entity_id", "left")
+    if trust and "source" in entities.columns:
+        rows = rows.withColumn("scheme", F.col("source.scheme"))
+    rows = ranking.confidence_boost(rows, now, trust if "scheme" in rows.columns else None)
+    rows = ranking.remote_trust(ranking.gravity(rows, ranking.pulls(found, [(r.kern_id, list(r.graviton_vec), r.mass) for r in attractors])))
+    chains = walked.where("kind = 'chain'").select("query_id", "chain_no", "nodes", "score")
     if keep is not None:
         rows = rows.withColumnRenamed("score", "hit_score").withColumnRenamed("own_score", "score").where(keep).withColumnRenamed(
             "score", "own_score").withColumnRenamed("hit_score", "score")
+        chains = filters.whole_chains(chains, found.select("entity_id", keep.alias("ok")))
     rows = rows.where(filters.not_expired(options, now)).withColumn("score", F.round("score", 6))
     rows = filters.deliverable(rows, s.floor, max(ranking.MMR_POOL, s.deliver))
     rows = rows.withColumn("confidence", sc.conf_mean(F.col("conf_alpha"), F.col("conf_beta")))
-    rows = written(ranking.resorted(rows, options.sort, options.ascending))
-    q = entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>")
-    ready = rows.join(F.broadcast(q), "query_id").withColumn(
-        "cosine", F.when(F.size("vector") == F.size("qv"), vec.cosine(F.col("vector"), F.col("qv"))))
-    final = ranking.mmr(ready, s.deliver)
+    rows = ranking.resorted(rows, options.sort, options.ascending)
+    section = "source.section" if "source" in entities.columns else "section" if "section" in entities.columns else None
+    if section is not None:
+        rows = ranking.section_dedup(rows, section)
+    rows = written(rows.join(q, "query_id").withColumn("cosine", F.when(F.size("vector") > 0, vec.cosine(F.col("vector"), F.col("qv")))).select(
+        "query_id", "entity_id", "score", "rank", "cosine", "vector", "kind", "kern_id", "confidence"), "delivered")
+    final = ranking.mmr(rows, s.deliver)
+    if s.lexical_weight > 0 and texts:
+        final = ranking.lexical_boost(final, search.bm25(entities, texts, s.deliver).drop("rank"), s.lexical_weight)
     shown = rows.select("query_id", "entity_id", "kind", "kern_id", sc.is_remote(F.col("kern_id")).alias("remote"), F.round("confidence", 6).alias("confidence"))
-    return final.join(shown, ["query_id", "entity_id"]).select("query_id", "rank", "entity_id", "score", "kind", "kern_id", "remote", "confidence")
+    return final.join(shown, ["query_id", "entity_id"]).select("query_id", "rank", "entity_id", "score", "kind", "kern_id", "remote", "confidence"), chains
+
+
+def retrieve(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),
+             options: filters.QueryOptions | None = None) -> DataFrame:
+    """Delivered results of every query, as :func:`recall`."""
+    return recall(entities, reasons, accesses, attractors, now, s, options)[0]

@@ -10,7 +10,7 @@ from memloom.functions import vec
 from memloom.operators import filters, ranking, retrieval, search, walks
 from memloom.plans import base as b
 from memloom.plans.base import A_SQL, E_SQL, G_SQL, R_SQL, cos_sql, usable_sql, with_
-from memloom.session import table
+from memloom.session import table, written
 
 QUERIES, ORACLE = {}, {}
 K, SEED_K = 15, 25
@@ -411,7 +411,7 @@ def cold_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + R_SQL + """, l AS (SELECT DISTINCT from_id AS newer, to_id AS older FROM r WHERE kind = 4),
-  w AS (SELECT newer AS head, older AS entity_id, 1 AS depth FROM l UNION SELECT head, older, depth + 1 FROM w JOIN l ON newer = entity_id WHERE depth < 64)
+  w AS (SELECT newer AS head, older AS entity_id, 1 AS depth FROM l UNION SELECT head, older, depth + 1 FROM w JOIN l ON newer = entity_id WHERE depth < (SELECT count(*) FROM l))
   SELECT head, entity_id, min(depth)::INT AS depth FROM w WHERE head <> entity_id GROUP BY ALL""")
 def supersede_history(spark: SparkSession, d: str) -> DataFrame:
     """R-20: all ancestors of every head over supersedes edges."""
@@ -448,10 +448,7 @@ def access_cooldown(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- walks
 
-_PR_ROUNDS = 4
-
-
-def _pagerank_sql(rounds: int = _PR_ROUNDS) -> str:
+def _pagerank_sql(rounds: int = 25) -> str:
     parts = [E_SQL, R_SQL, G_SQL,
              "ed AS MATERIALIZED (SELECT from_id AS src, to_id AS dst, count(*)::DOUBLE AS w FROM r WHERE NOT starts_with(kern_id, 'remote-') AND from_id <> to_id "
              "AND from_id IN (SELECT entity_id FROM e) AND to_id IN (SELECT entity_id FROM e) GROUP BY ALL)",
@@ -469,33 +466,47 @@ def _pagerank_sql(rounds: int = _PR_ROUNDS) -> str:
     return with_(*parts) + f"SELECT query_id, entity_id, round(rank, 6) AS rank FROM k{rounds}"
 
 
+def _pagerank(spark: SparkSession, d: str, read_whole: int) -> DataFrame:
+    e = b.entities(spark, d).select("entity_id", "vector", "status")
+    seeds = search.vector_topk(e, b.vector_queries(spark, d), SEED_K).select("query_id", "entity_id", F.col("cosine").alias("score"))
+    ranks = walks.pagerank(walks.voting_edges(b.reasons(spark, d), e), seeds, read_whole=read_whole)
+    return ranks.select("query_id", "entity_id", F.round("rank", 6).alias("rank"))
+
+
 @query(_pagerank_sql())
 def pagerank_personalised(spark: SparkSession, d: str) -> DataFrame:
-    """R-04 from every attractor's dense seeds, a fixed number of rounds."""
-    e = b.entities(spark, d)
-    seeds = search.vector_topk(e, b.vector_queries(spark, d), SEED_K).select("query_id", "entity_id", F.col("cosine").alias("score"))
-    return walks.pagerank(walks.voting_edges(b.reasons(spark, d), e), seeds, _PR_ROUNDS, tolerance=None).select("query_id", "entity_id", F.round("rank", 6).alias("rank"))
+    """R-04 from every attractor's dense seeds: up to 25 rounds, ending once settled to 1e-9."""
+    return _pagerank(spark, d, walks.READ_WHOLE)
 
 
-@query(_pagerank_sql(25))
-def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    """R-04 as it is: up to 25 rounds, ending once settled to 1e-9."""
-    e = b.entities(spark, d)
-    seeds = search.vector_topk(e, b.vector_queries(spark, d), SEED_K).select("query_id", "entity_id", F.col("cosine").alias("score"))
-    return walks.pagerank(walks.voting_edges(b.reasons(spark, d), e), seeds).select("query_id", "entity_id", F.round("rank", 6).alias("rank"))
+@query(_pagerank_sql())
+def pagerank_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """R-04 by the distributed rounds that graphs above READ_WHOLE take."""
+    return _pagerank(spark, d, 0)
+
+
+def _beam(spark: SparkSession, d: str, read_whole: int) -> DataFrame:
+    e = written(b.entities(spark, d).select("entity_id", "vector", "status"), "entities")
+    walked = retrieval.expansion(e, b.reasons(spark, d), b.vector_queries(spark, d), retrieval.Settings(), read_whole=read_whole)
+    return walked.where("kind = 'hit'").select("query_id", "entity_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def beam_expand(spark: SparkSession, d: str) -> DataFrame:
     """R-07, R-08: best-first walks from every attractor's seeds, with traversal credit."""
-    return retrieval.expansion(b.entities(spark, d), b.reasons(spark, d), b.vector_queries(spark, d), retrieval.Settings()).where("kind = 'hit'").select(
-        "query_id", "entity_id", F.round("score", 6).alias("score"))
+    return _beam(spark, d, walks.READ_WHOLE)
+
+
+@query()
+def beam_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """R-07, R-08 read round by round, as graphs above READ_WHOLE are."""
+    return _beam(spark, d, 0)
 
 
 @query()
 def provenance_chains(spark: SparkSession, d: str) -> DataFrame:
     """R-18: the first chains of every query as text."""
-    e, r = b.entities(spark, d), b.reasons(spark, d)
+    e, r = written(b.entities(spark, d), "entities"), written(b.reasons(spark, d), "reasons")
     walked = retrieval.expansion(e, r, b.vector_queries(spark, d), retrieval.Settings()).where("kind = 'chain'")
     return ranking.rendered_chains(walked, e, r)
 
@@ -529,16 +540,8 @@ def pulse_reach(spark: SparkSession, d: str) -> DataFrame:
     return walks.pulse(spark, table(spark, d, "kerns"))
 
 
-@query("""WITH RECURSIVE k AS (SELECT DISTINCT kern_id, parent_id, kern_id = 'root' OR coalesce(graviton_text, '') <> '' OR kern_id IN (SELECT kern_id FROM entities WHERE kern_id < 'kern-8') AS own FROM kerns),
-  u AS (SELECT kern_id, parent_id FROM k WHERE own UNION SELECT k.kern_id, k.parent_id FROM u JOIN k ON k.kern_id = u.parent_id) SELECT kern_id FROM k WHERE kern_id NOT IN (SELECT kern_id FROM u)""")
-def dead_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """M-13: partitions to evict, were only the lower half of the partitions filled."""
-    e = table(spark, d, "entities").where("kern_id < 'kern-8'")
-    return walks.dead_partitions(spark, table(spark, d, "kerns"), e)
-
-
 @query("""WITH RECURSIVE k AS (SELECT DISTINCT kern_id, parent_id, kern_id = 'root' OR coalesce(graviton_text, '') <> '' OR kern_id IN (SELECT kern_id FROM entities) AS own FROM kerns),
   u AS (SELECT kern_id, parent_id FROM k WHERE own UNION SELECT k.kern_id, k.parent_id FROM u JOIN k ON k.kern_id = u.parent_id) SELECT kern_id FROM k WHERE kern_id NOT IN (SELECT kern_id FROM u)""")
-def dead_partitions_all(spark: SparkSession, d: str) -> DataFrame:
+def dead_partitions(spark: SparkSession, d: str) -> DataFrame:
     """M-13: partitions to evict, over all entities."""
     return walks.dead_partitions(spark, table(spark, d, "kerns"), table(spark, d, "entities"))
