@@ -114,7 +114,8 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
 
     Results: query_id, rank, entity_id, score, kind, kern_id, remote, confidence. Chains: query_id, chain_no, nodes, score, of
     which no known entity fails the filters (P-15). The queries are the attractors given: their vector and text. Seeds come
-    from dense, lexical and important lists and PageRank, fused by rank (a query without text has its dense seeds alone);
+    from dense, lexical and important lists and PageRank, fused by rank (a query without text has its dense seeds
+    alone; what no mass reaches has no place in the PageRank list);
     fused seeds score by their cosine; the walk's and the seeds' scores pool by log-sum-exp. Filters act in every seed list
     and again before delivery cuts the pool. Then come the asked order, sections (where entities have a source or a section),
     diversity, and the late lexical bonus (where ``lexical_weight`` is positive).
@@ -144,7 +145,7 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
     q = F.broadcast(spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     seeds = dense
     if hybrid:
-        ppr = walks.pagerank(votes, dense.unionByName(lexical), s.pagerank_rounds)
+        ppr = walks.pagerank(votes, dense.unionByName(lexical), s.pagerank_rounds).where("rank > 0")
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
         fused = written(ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k), "fused")
         texted = [n for n, _ in texts]

@@ -153,7 +153,7 @@ def recall(entities, reasons, accesses, g, now, keep=None, expires=True, seed_k=
     dense = best(pooled(blend, important), seed_k)
     lexical = bm25({e: r["text"] for e, r in entities.items()}, text, 4 * seed_k, ok)
     votes = [(r["from_id"], r["to_id"]) for r in reasons if not r["kern_id"].startswith("remote-") and r["from_id"] != r["to_id"] and r["from_id"] in entities and r["to_id"] in entities]
-    ranks = best(pagerank(votes, dense + lexical), 100, 9)
+    ranks = best({e: x for e, x in pagerank(votes, dense + lexical).items() if x > 0}, 100, 9)
     fused = {}
     for rows, w in ((dense, 1.0), (lexical, 1.0), (important, 0.5), (ranks, 0.5)):
         for i, (e, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0]))):
