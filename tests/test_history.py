@@ -74,3 +74,18 @@ def test_gap_splits_equal_values(spark):
 
 def test_empty(spark):
     assert history.attribute_history(frame(spark, [])).count() == 0
+
+
+def test_bits_do_the_merging(spark):
+    """Of equal touching statements, bitmaps merge all but one in 32; order merges only what words cut."""
+    jobs = [{"id": i, "obj": "o", "sec": "s", "text": "ab"[i // 700], "kind": None, "conf": None, "from": T0 + dt.timedelta(hours=5 * i), "until": None} for i in range(1400)]
+    runs = history.runs(history.snapshots(history.statements(frame(spark, jobs))))
+    assert runs.count() == 1400 // 32 + 1 + 1 and history.attribute_history(frame(spark, jobs)).count() == 2
+
+
+def test_runs_over_blocks_of_words(spark):
+    """More than a block of 64 words of one value, then others at every border."""
+    n = history.WORD * history.BLOCK
+    text = lambda i: "same" if i < 2 * n + 5 else str(i // history.WORD)
+    jobs = [{"id": i, "obj": "o", "sec": "s", "text": text(i), "kind": None, "conf": None, "from": T0 + dt.timedelta(minutes=i), "until": None} for i in range(2 * n + 200)]
+    assert found(history.attribute_history(frame(spark, jobs))) == plain(jobs)
