@@ -13,6 +13,10 @@ from memloom.operators import changefeed
 from memloom.sources import intake
 from memloom.sources.store import Store
 
+#: Parts of a log after which it is rewritten as one.
+COMPACT_PARTS = 16
+#: Key of a register and what tells its deciding change.
+REGISTER_KEY = (["object_id", "target"], ["lamport", "producer", "is_delete", "lww_value", "lww_double", "lww_ts"])
 JOB_SCHEMA = (
     "text string, source struct<scheme: string, object_id: string, section: string, title: string, author: string, url: string, system: string>, kind string, "
     "hint string, confidence double, valid_until timestamp, valid_from timestamp, source_tag string, user_id string, agent_id string, session_id string"
@@ -38,17 +42,47 @@ def drain(stream: DataFrame, store: Store, name: str, checkpoint: str, poll_seco
 
 
 def merge_deltas(stream: DataFrame, store: Store, checkpoint: str, name: str = "register_log") -> StreamingQuery:
-    """C-07, C-18: fold a stream of deltas into the kept register log; late and repeated deltas are harmless, so no watermark."""
+    """C-07, C-18: fold a stream of deltas into the kept register log; late and repeated deltas are harmless, so no watermark.
+
+    A batch appends its deciding changes only; the table has a key, so reading folds the parts, and every COMPACT_PARTS parts
+    the log is rewritten as one.
+    """
     def fold(batch: DataFrame, epoch: int) -> None:
-        if store.exists(name):
-            state = store.read(name)
-        else:
-            state = changefeed.apply_batch(changefeed.register_changes(batch.limit(0)), batch.limit(0))
-        store.replace(name, changefeed.apply_batch(state, batch), batch_id=f"{name}-{epoch}")
+        new = changefeed.deciding(changefeed.register_changes(batch))
+        full = store.parts(name) + 1 >= COMPACT_PARTS
+        if full:
+            new = changefeed.deciding(store.read(name).unionByName(new))
+        store.commit({name: new}, batch_id=f"{name}-{epoch}", append=not full, keys={name: REGISTER_KEY})
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replay_deltas(stream: DataFrame, store: Store, checkpoint: str, name: str = "feed") -> StreamingQuery:
+    """Commit-ordered replay of a stream: ``NAME_registers`` shows only transactions at or below the contiguous watermark.
+
+    A batch commits, at once, what it exposes as a further part of the registers, the held changes and the numbers that
+    arrived; a batch that is replayed after a failure changes nothing. :func:`end_feed` releases what is held.
+    """
+    return stream.writeStream.foreachBatch(lambda batch, epoch: _step(store, name, batch, f"{name}-{epoch}")).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def end_feed(store: Store, name: str = "feed") -> int:
+    """The feed has ended: held transactions are released."""
+    return _step(store, name, None, f"{name}-end")
+
+
+def _step(store: Store, name: str, batch: DataFrame | None, batch_id: str) -> int:
+    names = {k: f"{name}_{k}" for k in ("arrived", "held", "registers")}
+    state = {k: store.read(n) for k, n in names.items() if store.exists(n)}
+    new, _ = changefeed.advance(state, batch if batch is not None else changefeed.no_deltas(store.spark), closed=batch is None)
+    full = store.parts(names["registers"]) + 1 >= COMPACT_PARTS
+    if full:
+        new["registers"] = changefeed.deciding(store.read(names["registers"]).unionByName(new["registers"]))
+    return store.commit({names[k]: df for k, df in new.items()}, batch_id=batch_id, append=() if full else (names["registers"],),
+                        keys={names["registers"]: REGISTER_KEY})
+
+
 def access_commits(stream: DataFrame, cooldown_s: int = 60) -> DataFrame:
     """R-22, T-01: accesses (entity_id, ts) that count under a cooldown, with one stamp of state per entity.
 

@@ -83,3 +83,43 @@ def test_apply_batch_any_order(spark):
     log = cf.apply_batch(cf.register_changes(frame(spark, [])), frame(spark, rows[1:]))
     log = cf.apply_batch(log, frame(spark, rows[:1]))
     assert {(r.object_id, r.lamport, r.is_delete) for r in log.collect()} == {("a", 3, True), ("b", 1, False)}
+
+
+def test_null_numbers_and_gaps_at_the_end(spark):
+    """A change without a number is held with its whole transaction until the feed ends."""
+    rows = [row(1, "a", 1, "p", "insert"), row(None, "b", 2, "p", "insert"), row(2, "c", 2, "p", "insert"), row(4, "d", 3, "p", "insert")]
+    assert set(state(cf.replay(frame(spark, rows)))) == {("a", 2)}
+    assert state(cf.replay(frame(spark, rows), closed=True)) == fold(rows)
+    gapless = rows[:3]
+    assert set(state(cf.replay(frame(spark, gapless)))) == {("a", 2)} and state(cf.replay(frame(spark, gapless), closed=True)) == fold(gapless)
+
+
+def test_watermark_over_words(spark):
+    for first, last, missing, mark in ((5, 400, (), 400), (64, 127, (), 127), (0, 63, (), 63), (3, 300, (128,), 127), (3, 300, (127,), 126), (-70, 10, (-1,), -2), (0, 191, (63, 64), 62), (1, 63, (), 63)):
+        rows = [row(s, "o", 1, "p", "insert") for s in range(first, last + 1) if s not in missing]
+        got = cf.committed_watermark(frame(spark, rows)).first()
+        assert (got.first_seq, got.last_seq, got.distinct_seqs, got.watermark) == (first, last, len(rows), mark)
+
+
+def test_stream_of_transactions_equals_batch(spark, tmp_path):
+    """Multi-change transactions over gaps, in batches out of order: the stream exposes what the batch form exposes."""
+    from memloom.sources.store import Store
+    from memloom.streaming import jobs
+
+    rng = random.Random(11)
+    rows = [row(s + 1, f"o{rng.randrange(40)}", (s + rng.randrange(30)) // 6, f"p{rng.randrange(3)}", rng.choice(["insert", "update", "delete"]), struct.pack("<d", s)) for s in range(420)]
+    missing = rows.pop(300)
+    late = rows[40:60]
+    batches = [rows[:40] + rows[60:150], rows[150:260] + rows[:30], late, rows[260:]]
+    store, seen, before = Store(spark, f"file://{tmp_path}/s"), [], {}
+    for i, b in enumerate(batches):
+        jobs._step(store, "feed", frame(spark, b), f"b{i}")
+        jobs._step(store, "feed", frame(spark, b), f"b{i}")  # replayed: nothing changes
+        seen += b
+        now = state(store.read("feed_registers").where("not is_delete"))
+        assert now == state(cf.replay(frame(spark, seen))), i
+        before = now
+    jobs._step(store, "feed", frame(spark, [missing]), "b9")
+    assert state(store.read("feed_registers").where("not is_delete")) == state(cf.replay(frame(spark, seen + [missing])))
+    jobs.end_feed(store)
+    assert state(store.read("feed_registers").where("not is_delete")) == fold(seen + [missing]) and store.read("feed_held").count() == 0 and before
