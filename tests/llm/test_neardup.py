@@ -100,3 +100,27 @@ def test_groups_and_empty(spark):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "a bigint, b bigint, similarity double")
     assert {(r.id, r.group_id) for r in nd.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_an_id_with_two_texts(spark):
+    """Each text of an id is compared; the pairs of the one aren't those of the other."""
+    rng = random.Random(2)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(60)] for c in "ab")
+    texts = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:55])), (3, " ".join(b[:55])), (4, " ".join(b))]
+    got, _, _ = run(spark, texts, 0.6, 3, 40)
+    assert got == {(1, 2), (1, 3), (1, 4), (3, 4)}
+
+
+def test_two_trees_lose_nothing():
+    rng = np.random.default_rng(5)
+    sets_ = [set(rng.integers(0, 3000, rng.integers(40, 90)).tolist()) for _ in range(300)]
+    sets_ += [set(list(s)[: int(len(s) * 0.85)]) for s in sets_[:80]]
+    bits = np.zeros((len(sets_), 512), dtype=bool)
+    for i, s in enumerate(sets_):
+        bits[i, [x * 7 % 512 for x in s]] = True
+    words, size = np.packbits(bits, axis=1, bitorder="little").view(np.uint64), np.array([len(s) for s in sets_])
+    for cut in (1, 7, 300):
+        one, two = nd.SignatureTree(size[:cut], words[:cut]), nd.SignatureTree(size[cut:], words[cut:])
+        kept = {(int(a), int(b) + cut) for u, v in one.pairs_with(two, 0.6) for a, b in zip(u, v)}
+        true = {(a, b) for a in range(cut) for b in range(cut, len(sets_)) if len(sets_[a] & sets_[b]) >= 0.6 * len(sets_[a] | sets_[b])}
+        assert true <= kept
