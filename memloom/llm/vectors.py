@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-* Vectors are normalised and exact copies collapse to one representative that carries its first ``k + 1`` ids, so a copy
-  group of any size is one point of the index.
-* Centroids come from a two-level k-means on a bounded sample (``SAMPLE`` vectors at most). They are searched through an
-  in-memory graph: a query enters at its nearest pivot, whose ball of graph neighbours is scored at once, and then
-  moves along the neighbours of its best centroid.
+* Exact copies of a vector collapse to one representative that carries its first ``k + 1`` ids, so a copy group of any size is
+  one point of the index.
+* Centroids come from a two-level k-means on a bounded sample (``SAMPLE`` vectors at most); clusters above twice their share
+  are split, so lists are balanced. Centroids are searched through an in-memory graph: a query enters at its nearest pivot,
+  whose ball of graph neighbours is scored at once, and then moves along the neighbours of its best centroid.
 * A vector is stored in the lists of its nearest centroids: boundary vectors, whose distances to several centroids are
   within a ratio of the least, go to several lists. A query probes the lists within a wider ratio (distance-ratio pruning).
-* A list longer than ``LIST_ROWS`` is scored in blocks, so memory is bounded; lists are spread by the shuffle.
+* The sample carries ``MAX_LISTS`` lists. A list above ``SPLIT_ROWS`` rows - all are, above some millions of vectors - gets
+  centroids, a graph and lists of its own in the task that scores it, so work grows with the rows and not with their square.
+* Pairs are chosen in single precision and scored again in double before they are ranked.
 
-The index holds every row; only the centroids are fitted on the sample.
+The index holds every row; only the centroids are fitted on a sample.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import functions as F
 
 from memloom.session import written
 
-#: Vectors the centroids are fitted on, at most; rows a list should hold; centroids at most; rows scored at once.
-SAMPLE, LIST_TARGET, MAX_CENTROIDS, LIST_ROWS = 32_768, 256, 4096, 2048
+#: Vectors the centroids are fitted on, at most; rows a list should hold; lists of the first level at most, as the sample
+#: carries no more; rows above which a list gets lists of its own; rows scored at once.
+SAMPLE, LIST_TARGET, MAX_LISTS, SPLIT_ROWS, LIST_ROWS = 32_768, 256, 8192, 2048, 2048
 #: Lists a vector is stored in and a query probes, at most, and the distance ratios that prune them.
-STORE_LISTS, PROBE_LISTS, STORE_RATIO, PROBE_RATIO = 3, 3, 1.1, 1.1
+STORE_LISTS, PROBE_LISTS, STORE_RATIO, PROBE_RATIO = 3, 4, 1.1, 1.2
 _DEGREE, _BALL = 16, 96
 
 
@@ -43,7 +46,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 
 def fit_centroids(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
-    """About ``count`` centroids by two-level k-means, the second level in proportion to each part's size."""
+    """About ``count`` centroids by two-level k-means, the second level in proportion to each part's size; then clusters that
+    hold more than twice the mean are split in proportion, twice at most."""
     rng = np.random.default_rng(seed)
     count = max(1, min(count, len(sample) // 4 or 1))
     top = _kmeans(sample, max(1, int(np.sqrt(count))), rng)
@@ -53,7 +57,17 @@ def fit_centroids(sample: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
         part = sample[who == j]
         if len(part):
             out.append(_kmeans(part, max(1, round(count * len(part) / len(sample))), rng))
-    return np.concatenate(out)
+    found = np.concatenate(out)
+    share = len(sample) / len(found)
+    for _ in range(2):
+        who = np.concatenate([(sample[i : i + 4096] @ found.T).argmax(1) for i in range(0, len(sample), 4096)])
+        size = np.bincount(who, minlength=len(found))
+        great = np.flatnonzero((size > 2 * share) & (size >= 8))
+        if not len(great):
+            break
+        new = [_kmeans(sample[who == j], int(np.ceil(size[j] / share)), rng) for j in great]
+        found = np.concatenate([np.delete(found, great, axis=0), *new])
+    return found
 
 
 class CentroidGraph:
@@ -135,25 +149,31 @@ def valid_vector(column: str, dim: int) -> str:
     )
 
 
-def _route(batches: Iterator[pa.RecordBatch], graphs: dict[str, CentroidGraph], dim: int, store: int, probe: int,
-           store_ratio: float, probe_ratio: float) -> Iterator[pa.RecordBatch]:
-    """Rows (space, list, rep, vector, stored, probing): each vector in the lists that store it or that it probes."""
+def _chosen(graph: CentroidGraph, unit: np.ndarray, asks: np.ndarray, store: int, probe: int, store_ratio: float, probe_ratio: float) -> tuple:
+    """Row, list, stored and probing of each list that stores a row or that it probes."""
+    ids, sims = graph.nearest(unit, max(store, probe))
+    dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
+    rank = np.arange(ids.shape[1])
+    base = np.maximum(dist[:, :1], 1e-3)
+    stored = (rank < store) & (dist <= store_ratio * base) & (ids >= 0)
+    probing = (rank < probe) & (dist <= probe_ratio * base) & (ids >= 0) & asks[:, None]
+    r, c = np.nonzero(stored | probing)
+    return r, ids[r, c], stored[r, c], probing[r, c]
+
+
+def _route(batches: Iterator[pa.RecordBatch], graphs: dict[str, CentroidGraph], dim: int, tuning: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows (space, list, rep, v, stored, probing): each vector in the lists that store it or that it probes."""
     for batch in batches:
         spaces = np.asarray(batch.column(0).to_pylist(), dtype=object)
+        raw = np.asarray(batch.column(2).flatten(), dtype=np.float32).reshape(-1, dim)
         unit = unit_rows(batch.column(2), dim).astype(np.float32)
         asks = np.asarray(batch.column(3)).astype(bool)
         for space in dict.fromkeys(spaces.tolist()):
             at = np.flatnonzero(spaces == space)
-            ids, sims = graphs[space].nearest(unit[at], max(store, probe))
-            dist = np.sqrt(np.maximum(2 - 2 * sims, 1e-12))
-            rank = np.arange(ids.shape[1])
-            base = np.maximum(dist[:, :1], 1e-3)
-            stored = (rank < store) & (dist <= store_ratio * base) & (ids >= 0)
-            probing = (rank < probe) & (dist <= probe_ratio * base) & (ids >= 0) & asks[at][:, None]
-            r, c = np.nonzero(stored | probing)
+            r, lists, stored, probing = _chosen(graphs[space], unit[at], asks[at], *tuning)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at[r])), pa.array(ids[r, c], pa.int32()), batch.column(1).take(pa.array(at[r])),
-                 _rows_binary(unit[at[r]]), pa.array(stored[r, c]), pa.array(probing[r, c])],
+                [batch.column(0).take(pa.array(at[r])), pa.array(lists, pa.int32()), batch.column(1).take(pa.array(at[r])),
+                 _rows_binary(raw[at[r]]), pa.array(stored), pa.array(probing)],
                 ["space", "list", "rep", "v", "stored", "probing"],
             )
 
@@ -164,33 +184,60 @@ def _rows_binary(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
 
 
-def _score_list(rows: pa.Table, dim: int, k: int, min_cosine: float) -> pa.Table:
-    """The best ``k`` stored rows of one list for each row that probes it, in blocks."""
-    m = np.frombuffer(b"".join(rows.column("v").to_pylist()), dtype=np.float32).reshape(-1, dim)
-    rep = np.asarray(rows.column("rep"))
-    stored = np.flatnonzero(np.asarray(rows.column("stored")))
-    probing = np.flatnonzero(np.asarray(rows.column("probing")))
-    got_a, got_b, got_s = [], [], []
+def _best(unit: np.ndarray, rep: np.ndarray, stored: np.ndarray, probing: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row that probes, the places of the best ``2 k`` stored ones, in blocks."""
     for i in range(0, len(probing), LIST_ROWS):
         q = probing[i : i + LIST_ROWS]
         best_s, best_i = np.full((len(q), 0), 0, np.float32), np.full((len(q), 0), 0, np.int64)
         for j in range(0, len(stored), LIST_ROWS):
             t = stored[j : j + LIST_ROWS]
-            s = m[q] @ m[t].T
+            s = unit[q] @ unit[t].T
             s[rep[q][:, None] == rep[t][None, :]] = -2
             best_s = np.concatenate([best_s, s], axis=1)
             best_i = np.concatenate([best_i, np.broadcast_to(t, s.shape)], axis=1)
             if best_s.shape[1] > 2 * k:  # near ties survive in twice as many places
                 top = np.argpartition(-best_s, 2 * k - 1, axis=1)[:, : 2 * k]
                 best_s, best_i = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_i, top, 1)
-        r, c = np.nonzero(best_s >= min_cosine - 1e-5)
-        got_a.append(rep[q[r]])
-        got_b.append(rep[best_i[r, c]])
-        got_s.append(best_s[r, c])
+        r, c = np.nonzero(best_s >= max(least, -1.5) - 1e-5)
+        yield q[r], best_i[r, c]
+
+
+def _score_list(rows: pa.Table, dim: int, k: int, min_cosine: float, tuning: tuple, split_rows: int) -> pa.Table:
+    """The best ``2 k`` stored rows of one list for each row that probes it, with their cosines in double precision.
+
+    A list of more than ``split_rows`` stored rows is searched through lists of its own, built here on a sample of it.
+    """
+    values = rows.column("v").combine_chunks()
+    raw = np.frombuffer(b"".join(values.to_pylist()), dtype=np.float32).reshape(-1, dim)
+    rep = np.asarray(rows.column("rep"))
+    norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
+    unit = (raw / norm[:, None]).astype(np.float32)
+    holds, asks = np.asarray(rows.column("stored")).astype(bool), np.asarray(rows.column("probing")).astype(bool)
+    stored, probing = np.flatnonzero(holds), np.flatnonzero(asks)
+    if len(stored) > split_rows and len(probing):
+        draw = stored[:: max(1, len(stored) // (SAMPLE // 2))]
+        graph = CentroidGraph(fit_centroids(unit[draw], len(stored) // LIST_TARGET))
+        r, lists, st, pr = _chosen(graph, unit, asks, *tuning)
+        st &= holds[r]
+        order = np.argsort(lists, kind="stable")
+        cuts = np.flatnonzero(np.diff(lists[order], prepend=-1))
+        parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        found = (x for part in parts for x in _best(unit, rep, r[part][st[part]], r[part][pr[part]], k, min_cosine))
+    else:
+        found = _best(unit, rep, stored, probing, k, min_cosine)
+    got_a, got_b, got_s = [], [], []
+    for q, t in found:
+        for i in range(0, len(q), 1 << 16):
+            x, y = q[i : i + (1 << 16)], t[i : i + (1 << 16)]
+            s = np.einsum("ij,ij->i", raw[x].astype(np.float64), raw[y].astype(np.float64)) / (norm[x] * norm[y])
+            keep = s >= min_cosine - 1e-12
+            got_a.append(rep[x[keep]])
+            got_b.append(rep[y[keep]])
+            got_s.append(s[keep])
     space = rows.column("space")[0].as_py()
     a = np.concatenate(got_a) if got_a else np.zeros(0, np.int64)
-    b, s = (np.concatenate(got_b), np.concatenate(got_s)) if got_a else (np.zeros(0, np.int64), np.zeros(0, np.float32))
-    return pa.table({"space": pa.array([space] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float32())})
+    b, s = (np.concatenate(got_b), np.concatenate(got_s)) if got_a else (np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"space": pa.array([space] * len(a), pa.string()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
 
 
 def points(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -216,7 +263,7 @@ def points(rows: DataFrame, dim: int, k: int) -> tuple[DataFrame, DataFrame, Dat
     return heads.select("space", "rep", "v"), listed, members
 
 
-def build_graphs(heads: DataFrame, dim: int) -> dict[str, CentroidGraph]:
+def build_graphs(heads: DataFrame, dim: int, most_lists: int = MAX_LISTS) -> dict[str, CentroidGraph]:
     """A centroid graph per space, fitted on at most ``SAMPLE`` vectors drawn by a hash of the vector."""
     sizes = {r[0]: r[1] for r in heads.groupBy("space").count().collect()}  # a row per space
     out = {}
@@ -229,13 +276,13 @@ def build_graphs(heads: DataFrame, dim: int) -> dict[str, CentroidGraph]:
         if not len(sample):
             one = heads.where(F.col("space") == space).select("v").limit(64).toArrow()
             sample = unit_rows(one.column("v").combine_chunks(), dim).astype(np.float32)
-        out[space] = CentroidGraph(fit_centroids(sample, min(MAX_CENTROIDS, max(1, n // LIST_TARGET))))
+        out[space] = CentroidGraph(fit_centroids(sample, min(most_lists, max(1, n // LIST_TARGET))))
     return out
 
 
 def nearest_points(heads: DataFrame, graphs: dict[str, CentroidGraph], dim: int, k: int, min_cosine: float = -1.0,
                    asking: DataFrame | None = None, store: int = STORE_LISTS, probe: int = PROBE_LISTS,
-                   store_ratio: float = STORE_RATIO, probe_ratio: float = PROBE_RATIO) -> DataFrame:
+                   store_ratio: float = STORE_RATIO, probe_ratio: float = PROBE_RATIO, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(space, a, b, s): up to ``2 k`` best points b found for each point a that asks (all, or those of ``asking(rep)``)."""
     if asking is None:
         rows = heads.select("space", "rep", "v", F.lit(True).alias("asks"))
@@ -243,31 +290,32 @@ def nearest_points(heads: DataFrame, graphs: dict[str, CentroidGraph], dim: int,
         rows = heads.join(asking.select("rep", F.lit(True).alias("asks")), "rep", "left").select(
             "space", "rep", "v", F.coalesce("asks", F.lit(False)).alias("asks")
         )
+    tuning = (store, probe, store_ratio, probe_ratio)
     routed = rows.mapInArrow(
-        lambda it: _route(it, graphs, dim, store, probe, store_ratio, probe_ratio),
+        lambda it: _route(it, graphs, dim, tuning),
         "space string, list int, rep bigint, v binary, stored boolean, probing boolean",
     )
     found = routed.groupBy("space", "list").applyInArrow(
-        lambda rows: _score_list(rows, dim, k, min_cosine), "space string, a bigint, b bigint, s float"
+        lambda rows: _score_list(rows, dim, k, min_cosine, tuning, split_rows), "space string, a bigint, b bigint, s double"
     )
     return found.groupBy("space", "a", "b").agg(F.max("s").alias("s"))
 
 
-def nearest_entities(rows: DataFrame, dim: int, k: int, min_cosine: float = -1.0, asking_ids=None, **tuning) -> DataFrame:
+def nearest_entities(rows: DataFrame, dim: int, k: int, min_cosine: float = -1.0, asking_ids=None, most_lists: int = MAX_LISTS, **tuning) -> DataFrame:
     """(space, id, other, s): the at most ``k`` others of greatest cosine, at least ``min_cosine``, ties by id.
 
     ``asking_ids``: a predicate Column over ``id``; only those ids ask, all are searched. Copies of one vector have each
     other at cosine 1. Columns beside space, id and v are dropped.
     """
     heads, listed, members = points(rows.select("space", "id", "v"), dim, k)
-    graphs = build_graphs(heads, dim)
+    graphs = build_graphs(heads, dim, most_lists)
     asking = members.where(asking_ids).select("rep").distinct() if asking_ids is not None else None
     near = nearest_points(heads, graphs, dim, k, min_cosine, asking, **tuning)
     # the k best points of each suffice, as each stands for at least one id
     head_ids = listed.select("space", F.col("rep").alias("b"), "ids")
     order = Window.partitionBy("space", "a").orderBy(F.desc("s"), F.col("ids")[0])
     best = near.join(head_ids, ["space", "b"]).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    own = listed.where(F.size("ids") > 1).select("space", F.col("rep").alias("a"), F.lit(1.0).cast("float").alias("s"), "ids")
+    own = listed.where(F.size("ids") > 1).select("space", F.col("rep").alias("a"), F.lit(1.0).alias("s"), "ids")
     every = best.select("space", "a", "s", "ids").unionByName(own)
     asked = members.where(asking_ids) if asking_ids is not None else members
     pairs = asked.select("space", F.col("rep").alias("a"), "id").join(every, ["space", "a"]).select(
@@ -275,5 +323,5 @@ def nearest_entities(rows: DataFrame, dim: int, k: int, min_cosine: float = -1.0
     ).where("id <> other")
     rank = Window.partitionBy("space", "id").orderBy(F.desc("s"), "other")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).where(
-        F.col("s") >= min_cosine - 1e-7
+        F.col("s") >= min_cosine - 1e-12
     ).select("space", "id", "other", "s", "rank")

@@ -76,3 +76,30 @@ def test_graph_finds_nearest_centroids():
     ids, _ = g.nearest(x, 3)
     best = (x @ g.c.T).argmax(1)
     assert (ids[:, 0] == best).mean() > 0.97
+
+
+def test_lists_of_lists(spark):
+    """Few lists of the first level, so that each gets lists of its own: recall holds and no row is false."""
+    x = data(6000, 3)
+    true = brute(x, 5, 0.9)
+    got = {}
+    for r in vx.nearest_entities(frame(spark, x), DIM, 5, 0.9, most_lists=3, split_rows=500).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    hits = sum(len(set(v) & got.get(i, set())) for i, v in true.items())
+    assert hits >= 0.99 * sum(map(len, true.values())) and all(v <= set(true[i]) for i, v in got.items())
+
+
+def test_clusters_are_balanced():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([data(2000, 6), data(1, 7) + 0.05 * rng.normal(size=(4000, DIM)).astype(np.float32)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = vx.fit_centroids(x, 60)
+    size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert size.max() <= 3 * size.mean()
+
+
+def test_cosines_in_double_precision(spark):
+    x = data(300, 9)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    for r in vx.nearest_entities(frame(spark, x), DIM, 3).collect():
+        assert abs(r.s - u[int(r.id[1:])] @ u[int(r.other[1:])]) < 1e-12
