@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import junkpages, neardup, packing, splitting, tokens, vectors
-from memloom.session import table, written
+from memloom.session import small, table, written
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,23 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items(spark, d), table(spark, d, "size_limits")).dropDuplicates()
 
 
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized text: its length, whether its pieces' own parts are the text, all pieces fit and neighbours share the overlap."""
+    items = _items(spark, d).where("text is not null").select("origin", "item_id", "text", F.xxhash64("text").alias("h")).dropDuplicates(["origin", "item_id", "h"])
+    pieces = splitting.split_oversized(items.withColumn("item_id", F.xxhash64("item_id", "h")), table(spark, d, "size_limits"))
+    step = Window.partitionBy("origin", "item_id").orderBy("seq")
+    limits = small(table(spark, d, "size_limits"))
+    at = pieces.join(limits, "origin").withColumn("before", F.lag("end").over(step)).withColumn("tail", F.lag("piece").over(step))
+    fine = (F.char_length("piece") <= F.col("max_chars")) & (F.col("before").isNull() | (
+        (F.col("before") - F.col("start") == F.col("overlap_chars")) & F.expr("substring(piece, 1, overlap_chars) = right(tail, overlap_chars)")))
+    # pieces of one text are bounded by its length
+    per = at.groupBy("origin", "item_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.expr("substring(piece, own_start - start + 1)").alias("own")))), lambda x: x["own"]), "").alias("joined"),
+        F.min(fine.cast("int")).alias("fits"))
+    return items.select("origin", "item_id", F.xxhash64("item_id", "h").alias("k"), "text").join(per.withColumnRenamed("item_id", "k"), ["origin", "k"]).select(
+        "origin", "item_id", F.char_length("text").alias("n_chars"), (F.col("joined") == F.col("text")).alias("whole"), (F.col("fits") == 1).alias("fits"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_items(spark, d), table(spark, d, "size_limits")).where("seq = 0").select(
         "origin", "item_id"
@@ -85,10 +102,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in every kind of container."""
     docs = table(spark, d, "documents")
     # containers is fixed and small; its tokenizers are read to know which encodings are needed
     boxes = table(spark, d, "containers")
-    names = [r[0] for r in boxes.select("tokenizer").distinct().orderBy("tokenizer").limit(64).collect()]
+    names = [r[0] for r in boxes.select("tokenizer").where("tokenizer is not null").distinct().orderBy("tokenizer").limit(packing.MAX_CONTAINERS + 1).collect()]
+    if len(names) > packing.MAX_CONTAINERS:
+        raise ValueError(f"more than {packing.MAX_CONTAINERS} tokenizers")
     n = docs.count()
     out = None
     for name in names:
@@ -98,25 +118,39 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("item_id", "doc_id")
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of container: pieces, documents, tokens, and whether every piece fits and every document is there whole."""
+    placed = p7_packing(spark, d)
+    bins = placed.groupBy("container", "grp", "bin").agg(F.sum("n_tokens").alias("held"))
+    boxes = table(spark, d, "containers").select("container", "capacity_tokens")
+    over = bins.join(F.broadcast(boxes), "container").groupBy("container").agg(  # a fixed table, refused above 64 rows
+        F.sum((F.col("held") > F.col("capacity_tokens")).cast("long")).alias("n_over"))
+    per = placed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    docs = per.groupBy("container").agg(F.count("*").alias("n_docs"), F.sum("pieces").alias("n_pieces"))
+    whole = per.join(F.broadcast(boxes), "container").groupBy("container").agg(
+        F.sum((F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens")))).cast("long")).alias("n_torn"))
+    return docs.join(over, "container").join(whole, "container").select("container", "n_docs", "n_over", "n_torn")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return junkpages.junk_pages(table(spark, d, "documents"))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Junk shares by language and source, and how reviews agree."""
+    """Junk pages by language, and how reviews agree."""
     docs = table(spark, d, "documents")
-    shares = junkpages.junk_shares(docs).withColumn("junk", F.col("junk_share") > junkpages.SHARE)
+    shares = junkpages.junk_shares(docs, keep="lang").withColumn("junk", F.col("junk_share") > junkpages.SHARE)
     said = table(spark, d, "page_reviews").where("verdict in ('spam', 'ok')").groupBy("doc_id").agg(
         F.sum(F.when(F.col("verdict") == "spam", 1).otherwise(-1)).alias("votes")
     )
-    return docs.select("doc_id", "lang").join(shares, "doc_id").join(said, "doc_id", "left").groupBy("lang").agg(
+    return shares.join(said, "doc_id", "left").groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("junk").cast("int")).alias("n_junk"),
         F.sum(F.when(F.col("votes") != 0, 1).otherwise(0)).alias("n_reviewed"),
         F.sum(F.when((F.col("votes") > 0) == F.col("junk"), 1).otherwise(0)).alias("n_agreed"),
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_groups, p5_found, p5_search, p6_ids, p7_packing, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_report, p3_found, p3_groups, p5_found, p5_search, p6_ids, p7_packing, p7_report, p8_found, p8_report)}
 
 #: Brute force over all pairs; active entities with a usable vector, the five of greatest cosine, at least 0.9.
 _P5_SPACE = """
@@ -138,8 +172,30 @@ _P3 = """
     p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
     SELECT id_a, id_b FROM p JOIN n u ON u.id = id_a JOIN n v ON v.id = id_b WHERE k >= 0.6 * (u.n + v.n - k) - 1e-9"""
 
+#: Classes of equal sets, their links, and groups as the least id that can be reached.
+_P3_GROUPS = """
+    WITH RECURSIVE t AS (SELECT job_id AS id, text FROM direct_jobs WHERE text IS NOT NULL UNION SELECT record_id, content FROM ingest_records WHERE content IS NOT NULL),
+    w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+    s0 AS MATERIALIZED (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 40)),
+    m AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY k) AS class_id FROM (SELECT id, string_agg(x, '|' ORDER BY x) AS k FROM s0 GROUP BY id)),
+    s AS MATERIALIZED (SELECT id, x FROM s0 WHERE id IN (SELECT class_id FROM m)),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM p JOIN n u ON u.id = id_a JOIN n v ON v.id = id_b WHERE k >= 0.6 * (u.n + v.n - k) - 1e-9),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+    g AS (SELECT x, min(y) AS group_id FROM r GROUP BY x),
+    d AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+    SELECT m.id AS item_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(group_id, class_id) AS group_id
+    FROM m LEFT JOIN d ON d.a = class_id LEFT JOIN g ON g.x = class_id"""
+
 ORACLE = {
     "p3_found": _P3,
+    "p1_report": """
+        WITH i AS (SELECT 'direct_job' AS origin, job_id AS item_id, text FROM direct_jobs UNION SELECT 'ingest_record', record_id, content FROM ingest_records)
+        SELECT i.origin, item_id, length(text)::INT AS n_chars, true AS whole, true AS fits FROM i JOIN size_limits l ON i.origin = l.origin WHERE length(text) > max_chars""",
+    "p7_report": "SELECT container, (SELECT count(*) FROM documents) AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_torn FROM containers",
+    "p3_groups": _P3_GROUPS,
     "p5_found": "WITH " + ", ".join(_P5_ROWS.format(c=c) for c in ("vector", "gnn_vector"))
     + " SELECT DISTINCT space, least(x, y) AS entity_a, greatest(x, y) AS entity_b FROM ("
     + " UNION ALL ".join("(" + _P5_SPACE.format(c=c) + ")" for c in ("vector", "gnn_vector")) + ")",

@@ -1,13 +1,15 @@
 """Splitting oversized texts at natural boundaries by recursive bisection.
 
 A text of more code points than its limit is cut at the strongest boundary near its midpoint - paragraph, turn, line,
-sentence, word, in that order - and each half that still exceeds the limit minus the overlap is cut again. Overlaps are
+sentence, word, value, in that order - and each half that still exceeds the limit minus the overlap is cut again. Overlaps are
 attached last: every piece but the first starts ``overlap`` code points before its own part, so neighbours share exactly
 those and no piece is above the limit. The pieces' own parts, joined, are the text.
 
 Cases: null and empty texts, and texts within the limit, give no pieces. A text without any boundary is cut at the
 midpoint, but not inside a run of combining marks where there is another place. Repeated rows are split once per
-(origin, id, text). An overlap of half the limit or more is refused.
+(origin, id, text). An overlap of half the limit or more can't be attached to pieces cut at midpoints: the operator gives such
+limits the greatest overlap below half, so pieces stay within them; negative and null overlaps count as 0, and limits that
+aren't positive cut nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ BOUNDARIES = [
     re.compile(r"\r\n|\r|\n"),
     re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”’）]*"),
     re.compile(r"\s+"),
+    re.compile(r"[}\])],|[,;|&/、，；]"),  # within text without white space: the end of a value
 ]
 #: A cut falls within this share of a part on either side of its midpoint, if there is a boundary.
 NEAR = 0.25
@@ -85,7 +88,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
         out: list[tuple] = []
         held = 0
         for origin, item, text, limit, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-            for seq, (start, own, end) in enumerate(piece_bounds(text, limit, overlap)):
+            for seq, (start, own, end) in enumerate(piece_bounds(text, limit, min(max(overlap or 0, 0), (limit - 1) // 2))):
                 out.append((origin, item, seq, start, own, end, text[start:end]))
                 held += end - start
             if held > 1 << 22:  # bounded output batches, however long a text is
@@ -103,7 +106,7 @@ def split_oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """
     from memloom.session import small
 
-    lim = small(limits.select("origin", "max_chars", "overlap_chars"))
+    lim = small(limits.select("origin", "max_chars", "overlap_chars").where("max_chars > 0"))
     over = items.select("origin", "item_id", "text").where(F.col("text").isNotNull()).join(lim, "origin").where(
         F.char_length("text") > F.col("max_chars")
     )

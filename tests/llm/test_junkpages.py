@@ -71,3 +71,30 @@ def test_agrees_with_reviews(spark):
         votes[r.doc_id] = votes.get(r.doc_id, 0) + (1 if r.verdict == "spam" else -1)
     agreed = [(v > 0) == (shares[i] > jp.SHARE) for i, v in votes.items() if v]
     assert sum(agreed) / len(agreed) > 0.9
+
+
+def test_short_pages_and_unknown_scripts():
+    assert jp.junk_share("buy filter cheap filter best tool") > jp.SHARE and jp.junk_share("हिन्दी पाठ ३ बार") == 0
+
+
+def test_long_periods_and_repeated_clauses():
+    words = [f"term{i}" for i in range(40)] + ["of", "the"]
+    regular, lag, _ = jp.recurrence(words * 8)
+    assert regular > 0.9 and lag == 1
+    clauses = "系统移动了迟到的流程，" * 40
+    assert jp.junk_share(clauses) > jp.SHARE
+
+
+def test_lists_by_gaps():
+    assert jp.listed(["a", "b", jp.LINK] * 5, 10) and not jp.listed(["a"] * 40 + [jp.LINK], 200) and not jp.listed(["a"], 1)
+
+
+def test_recurrence_decides(spark, monkeypatch):
+    """Without the analysis of recurrence less than half of the pages are found."""
+    from conftest import DATA
+
+    texts = [r.text for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    found = sum(jp.junk_share(t) > jp.SHARE for t in texts)
+    monkeypatch.setattr(jp, "recurrence", lambda terms: (0.0, 0.0, 0.0))
+    monkeypatch.setattr(jp, "listed", lambda terms, chars: False)
+    assert sum(jp.junk_share(t) > jp.SHARE for t in texts) < found / 2

@@ -60,3 +60,22 @@ def test_operator(spark):
     assert pk.pack(items.limit(0), boxes, 0).count() == 0 and pk.pack(items, boxes.limit(0), 5).count() == 0
     again = pk.pack(items.repartition(7), boxes, len(rows), group_items=4)
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_tokenizers_beyond_the_bound_are_refused(spark, tmp_path):
+    from memloom.llm import registry
+
+    spark.createDataFrame([(1, "a")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(f"c{i}", 10, f"t{i}") for i in range(65)], "container string, capacity_tokens int, tokenizer string").write.parquet(str(tmp_path / "containers.parquet"))
+    with pytest.raises(ValueError):
+        registry.p7_packing(spark, str(tmp_path))
+
+
+def test_fill():
+    """Of containers filled with many small texts less than one in a hundred places stays empty."""
+    import numpy as np
+
+    from memloom.llm.packing import best_fit
+
+    sizes = np.random.default_rng(1).integers(1, 300, 20_000).tolist()
+    assert sum(sizes) >= 0.985 * 2048 * (max(best_fit(sizes, 2048)) + 1)

@@ -54,3 +54,17 @@ def test_operator_cases(spark):
     assert {(r.origin, r.item_id) for r in got.collect()} == {("direct_job", 1), ("ingest_record", 4)}
     assert sp.split_oversized(items.limit(0), limits).count() == 0
     assert all(len(r.piece) <= 50 and r.piece == r.piece for r in got.collect())
+
+
+def test_wide_overlap_of_one_limit_stops_nothing(spark):
+    items = spark.createDataFrame([("a", 1, "word " * 30), ("b", 2, "word " * 30), ("c", 3, "x" * 50)], "origin string, item_id bigint, text string")
+    limits = spark.createDataFrame([("a", 20, 10), ("b", 20, None), ("c", 0, 5)], "origin string, max_chars int, overlap_chars int")
+    got = {}
+    for r in sp.split_oversized(items, limits).collect():
+        got.setdefault(r.origin, []).append(r)
+    assert set(got) == {"a", "b"} and all(len(r.piece) <= 20 for v in got.values() for r in v)
+
+
+def test_values_are_kept_whole():
+    text = "[" + ",".join('{"k":"%s"}' % ("v" * 7) for _ in range(60)) + "]"
+    assert all(text[own - 1] == "," for _, own, _ in sp.piece_bounds(text, 100, 10)[1:])
