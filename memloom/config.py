@@ -8,7 +8,8 @@ from pathlib import Path
 
 #: Defaults by section.
 DEFAULTS = {
-    "retrieval": {"seed_k": 25, "max_expansions": 800, "deliver": 40, "floor": 0.0, "mode": "hybrid", "pagerank_rounds": 25, "lexical_weight": 0.0},
+    "retrieval": {"seed_k": 25, "max_expansions": 800, "deliver": 40, "floor": 0.0, "mode": "hybrid", "pagerank_rounds": 25, "lexical_weight": 0.0,
+                  "source_trust": {}},
     "heat": {"half_life_secs": 30 * 86_400, "evidence_half_life_secs": 0},
     "ingest": {"dedup_threshold": 0.98, "poll_secs": 5, "retention_secs": {}, "review": {}, "dedup_by_kind": {}},
     "store": {"cold_cap": 50_000},

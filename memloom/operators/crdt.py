@@ -44,35 +44,39 @@ ENTITY_COLUMNS = [
 ]
 
 
-def entity_join(entities: DataFrame) -> DataFrame:
+def entity_join(entities: DataFrame, origin: str | None = None) -> DataFrame:
     """C-03: one row per entity_id of any number of copies.
 
     Superseded is sticky, superseded_by the greatest, created_at the least, updated_at, accessed_at and heat the greatest,
-    the deadline last-writer-wins; confidence and text are never merged: the first copy's stay.
+    the deadline last-writer-wins. Confidence, text and whatever else is never merged are one copy's, whole: that of
+    the least ``origin`` (a column that ranks sources, the local one first), then the earliest created, then the least by a hash
+    of the copy, so the result depends neither on order nor on partitions.
     """
     present = [c for c in ENTITY_COLUMNS if c in entities.columns]
     deadline = F.max(F.struct(
         F.coalesce("valid_until_lamport", F.lit(0)).alias("lamport"), F.coalesce("valid_until_producer", F.lit("")).alias("producer"), "valid_until"
     )).alias("d")
+    rank = F.struct(F.col(origin) if origin else F.lit(0), F.coalesce(F.unix_micros("created_at"), F.lit((1 << 63) - 1)), F.xxhash64(*present))
     out = entities.groupBy("entity_id").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in present],
+        F.min_by(F.struct(*present), rank).alias("one"),
         F.when(F.max(F.when(F.col("status") == "superseded", 1).otherwise(0)) == 1, "superseded").otherwise("active").alias("status"),
         F.max("superseded_by").alias("superseded_by"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
         F.max("accessed_at").alias("accessed_at"), F.max("heat").alias("heat"), deadline,
     )
     return out.select(
-        "entity_id", *present, "status", "superseded_by", "created_at", "updated_at", "accessed_at", "heat",
+        "entity_id", "one.*", "status", "superseded_by", "created_at", "updated_at", "accessed_at", "heat",
         F.col("d.valid_until").alias("valid_until"), F.col("d.lamport").alias("valid_until_lamport"),
         F.when(F.col("d.producer") != "", F.col("d.producer")).alias("valid_until_producer"),
     )
 
 
-def reason_join(reasons: DataFrame) -> DataFrame:
-    """C-06: one row per reason_id, the score last-writer-wins."""
-    rest = [c for c in reasons.columns if c not in ("reason_id", "score", "score_lamport", "score_producer")]
+def reason_join(reasons: DataFrame, origin: str | None = None) -> DataFrame:
+    """C-06: one row per reason_id, the score last-writer-wins, the rest one copy's, whole, as in :func:`entity_join`."""
+    rest = [c for c in reasons.columns if c not in ("reason_id", "score", "score_lamport", "score_producer", origin)]
     w = F.max(F.struct(F.coalesce("score_lamport", F.lit(0)).alias("lamport"), F.coalesce("score_producer", F.lit("")).alias("producer"), "score")).alias("w")
-    return reasons.groupBy("reason_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest], w).select(
-        "reason_id", *rest, F.col("w.score").alias("score"), F.col("w.lamport").alias("score_lamport"),
+    rank = F.struct(F.col(origin) if origin else F.lit(0), F.xxhash64(*rest))
+    return reasons.groupBy("reason_id").agg(F.min_by(F.struct(*rest), rank).alias("one"), w).select(
+        "reason_id", "one.*", F.col("w.score").alias("score"), F.col("w.lamport").alias("score_lamport"),
         F.when(F.col("w.producer") != "", F.col("w.producer")).alias("score_producer"),
     )
 
@@ -94,8 +98,13 @@ def remote_insert(local: DataFrame, incoming: DataFrame, cap: int = REMOTE_CAP)
 
 
 def absorb(a: DataFrame, b: DataFrame) -> DataFrame:
-    """C-05, X-02: the union of two stores' entities."""
-    return entity_join(a.unionByName(b, allowMissingColumns=True))
+    """C-05, X-02: the union of two stores' entities; where copies differ in what is never merged, those of ``a`` stay."""
+    return entity_join(a.withColumn("_origin", F.lit(0)).unionByName(b.withColumn("_origin", F.lit(1)), allowMissingColumns=True), "_origin")
+
+
+def absorb_reasons(a: DataFrame, b: DataFrame) -> DataFrame:
+    """C-05, C-06: the union of two stores' edges; the texts and ends of ``a`` stay."""
+    return reason_join(a.withColumn("_origin", F.lit(0)).unionByName(b.withColumn("_origin", F.lit(1)), allowMissingColumns=True), "_origin")
 
 
 def absorb_partitions(a: DataFrame, b: DataFrame) -> DataFrame:

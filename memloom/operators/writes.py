@@ -109,6 +109,70 @@ def supersede(versions: DataFrame, by: str = "external_id", at: str = "created_a
                         F.col(at).alias("valid_from"), "valid_to", "n_before")
 
 
+def replaced(store: DataFrame, fresh: DataFrame, order: str = "job_id") -> DataFrame:
+    """W-06: (old_id, new_id): what the rows of ``fresh(entity_id, external_id, ORDER)`` supersede by their external id.
+
+    Of a batch's versions of one external id each supersedes the one before by ``order``, and the first supersedes what the
+    store holds as active under it. An external id's versions in one batch are few.
+    """
+    new = fresh.where(F.col("external_id").isNotNull()).select("external_id", F.col("entity_id").alias("new_id"), F.col(order).alias("o"))
+    w = Window.partitionBy("external_id").orderBy("o", "new_id")
+    inside = new.withColumn("old_id", F.lag("new_id").over(w))
+    first = inside.where("old_id is null").drop("old_id")
+    old = store.where((F.col("status") == "active") & F.col("external_id").isNotNull()).select("external_id", F.col("entity_id").alias("old_id"))
+    both = inside.where("old_id is not null").select("old_id", "new_id").unionByName(old.join(first, "external_id").select("old_id", "new_id"))
+    return both.where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
+
+
+def stamped(entities: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+    """W-06: ``entities`` with the old ones of ``pairs(old_id, new_id)`` superseded as of ``now``."""
+    e = entities.join(pairs.select(F.col("old_id").alias("entity_id"), "new_id"), "entity_id", "left")
+    hit = F.col("new_id").isNotNull()
+    at = {"status": F.lit("superseded"), "superseded_by": F.col("new_id"), "valid_to": F.coalesce("valid_to", now), "invalidated_at": F.coalesce("invalidated_at", now), "updated_at": now}
+    return e.select(*[F.when(hit, at[c]).otherwise(F.col(c)).alias(c) if c in at else F.col(c) for c in entities.columns])
+
+
+def edges_of(pairs: DataFrame) -> DataFrame:
+    """W-06: an edge from each new entity to the one it supersedes, score 1."""
+    kind = F.lit(sc.Fixed.SUPERSEDES)
+    none = F.lit(None).cast("string")
+    return pairs.select(sc.reason_id(F.col("new_id"), F.col("old_id"), kind, none, none).alias("reason_id"), F.col("new_id").alias("from_id"),
+                        F.col("old_id").alias("to_id"), kind.alias("kind"), F.lit(1.0).alias("score"))
+
+
+def repointed(reasons: DataFrame, pairs: DataFrame) -> DataFrame:
+    """W-06: rephrases still pending on a superseded entity move to the one that superseded it."""
+    r = reasons.join(pairs.select(F.col("old_id").alias("from_id"), "new_id"), "from_id", "left")
+    hit = F.col("new_id").isNotNull() & (F.col("kind") == sc.Fixed.REPHRASE_KIND) & (F.coalesce("to_id", F.lit("")) == "")
+    moved = F.when(hit, F.col("new_id")).otherwise(F.col("from_id"))
+    new_id = F.when(hit, sc.reason_id(F.col("new_id"), F.lit(""), F.col("kind"), F.col("text"), F.lit(""))).otherwise(F.col("reason_id"))
+    return r.withColumn("moved", moved).withColumn("renamed", new_id).select(
+        *[F.col({"from_id": "moved", "reason_id": "renamed"}.get(c, c)).alias(c) for c in reasons.columns])
+
+
+def contradicted(entities: DataFrame, reasons: DataFrame, verdicts: DataFrame, embedded: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """W-08: (entities, reasons) after ``verdicts(reason_id)`` said that these pending rephrases contradict their entity.
+
+    The rephrase's text becomes an entity of the old one's kind and partition, with its vector from ``embedded(text, vector)``;
+    it supersedes the old one, and the rephrase goes. A text that is an entity already is superseded to, not inserted again.
+    """
+    r = reasons.join(verdicts.select("reason_id").distinct(), "reason_id", "left_semi").where(
+        (F.col("kind") == sc.Fixed.REPHRASE_KIND) & F.col("text").isNotNull()).select("reason_id", F.col("from_id").alias("old_id"), "text")
+    # of several rephrases of one entity the least by id replaces it
+    r = r.groupBy("old_id").agg(F.min(F.struct("reason_id", "text")).alias("r")).select("old_id", "r.*").withColumn("new_id", sc.content_hash(F.col("text"))).where("old_id <> new_id")
+    old = entities.join(r.select(F.col("old_id").alias("entity_id"), "new_id", F.col("text").alias("said")), "entity_id").where("status = 'active'")
+    new = old.join(embedded.select(F.col("text").alias("said"), F.col("vector").alias("v")).dropDuplicates(["said"]), "said", "left")
+    made = {"entity_id": F.col("new_id"), "text": F.col("said"), "vector": F.col("v"), "gnn_vector": F.lit(None).cast("array<float>"), "status": F.lit("active"), "superseded_by": F.lit(None).cast("string"),
+            "created_at": now, "updated_at": now, "accessed_at": F.lit(None).cast("timestamp"), "heat": F.lit(0.0).cast("float"), "valid_from": now,
+            "valid_to": F.lit(None).cast("timestamp"), "invalidated_at": F.lit(None).cast("timestamp")}
+    fresh = new.select(*[made.get(c, F.col(c)).alias(c) for c in entities.columns]).dropDuplicates(["entity_id"]).join(entities.select("entity_id"), "entity_id", "left_anti")
+    pairs = old.select(F.col("entity_id").alias("old_id"), "new_id")
+    e = stamped(entities, pairs, now).unionByName(fresh.select(entities.columns))
+    edges = edges_of(pairs).join(old.select(F.col("entity_id").alias("to_id"), "kern_id"), "to_id")
+    left = reasons.join(r.join(pairs.select("old_id"), "old_id", "left_semi").select("reason_id"), "reason_id", "left_anti")
+    return e, left.unionByName(edges, allowMissingColumns=True)
+
+
 def supersedes_edges(chained: DataFrame, key: str = "entity_id") -> DataFrame:
     """W-06: an edge from each new version to the one it supersedes, score 1."""
     return chained.where("superseded_by is not null").select(F.col("superseded_by").alias("from_id"), F.col(key).alias("to_id"), F.lit(sc.Fixed.SUPERSEDES).alias("kind"), F.lit(1.0).alias("score"))

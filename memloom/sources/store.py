@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memloom.functions import vec
 
@@ -83,7 +84,7 @@ class Store:
     def meta(self) -> dict:
         at = self._epochs()
         if not at:
-            return {"format": FORMAT_VERSION, "epoch": 0, "tables": {}, "batches": {}, "layout": {}, "keys": {}}
+            return {"format": FORMAT_VERSION, "epoch": 0, "tables": {}, "batches": {}, "layout": {}, "keys": {}, "schemas": {}}
         m = json.loads(self._read_text(f"_epoch-{at[-1]:012d}.json"))
         if m["format"] != FORMAT_VERSION:
             raise ValueError(f"a store of format {m['format']}, not {FORMAT_VERSION}")
@@ -157,7 +158,8 @@ class Store:
             old = held if isinstance(held, list) else sorted({p for x in held.values() for p in x}) if held else []
             new[name] = [*old, version] if adds else [version]
         batches = before["batches"] | ({n: batch_id for n in tables} if batch_id is not None else {})
-        return self._swing(before, before | {"tables": before["tables"] | new, "batches": batches, "layout": laid, "keys": keyed})
+        kinds = {n: _fields(df, before["schemas"].get(n) if (append if isinstance(append, bool) else n in append) else None) for n, df in tables.items()}
+        return self._swing(before, before | {"tables": before["tables"] | new, "batches": batches, "layout": laid, "keys": keyed, "schemas": before["schemas"] | kinds})
 
     def _write_buckets(self, name: str, df: DataFrame, epoch: int, column: str, buckets: int) -> dict[str, list[str]]:
         """Write ``df`` by buckets of a column; the folders of the buckets that have rows."""
@@ -181,10 +183,11 @@ class Store:
             return self.commit({name: old.unionByName(rows, allowMissingColumns=True)}, before.epoch)
         touched = [str(r[0]) for r in ids.select(F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # at most the number of buckets
         paths = [p for b in touched for p in held.get(b, [])]
-        new = before.open(paths).join(ids.distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True) if paths else rows
+        new = before.open(paths, name).join(ids.distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True) if paths else rows
         fresh = self._write_buckets(name, new, before.epoch + 1, column, buckets)
         kept = {b: p for b, p in held.items() if b not in touched}
-        return self._swing(before.meta, before.meta | {"tables": before.meta["tables"] | {name: kept | fresh}})
+        kinds = before.meta["schemas"] | {name: _fields(rows, before.meta["schemas"].get(name))}
+        return self._swing(before.meta, before.meta | {"tables": before.meta["tables"] | {name: kept | fresh}, "schemas": kinds})
 
     def replace(self, name: str, df: DataFrame, expected: int | None = None, batch_id: str | None = None) -> int:
         """K-01: a new version of one table; rows that aren't in it are gone."""
@@ -213,10 +216,11 @@ class Store:
         if column != "kern_id" or not isinstance(held, dict):
             return self.flush(name, lambda old: rows if old is None else old.where(stays).unionByName(rows, allowMissingColumns=True))
         b = str(self.bucket_of(kern_id, buckets))
-        others = at.open(held[b]).where(stays) if b in held else rows.limit(0)
+        others = at.open(held[b], name).where(stays) if b in held else rows.limit(0)
         fresh = self._write_buckets(name, others.unionByName(rows, allowMissingColumns=True), at.epoch + 1, column, buckets)
         kept = {k: v for k, v in held.items() if k != b}
-        return self._swing(at.meta, at.meta | {"tables": at.meta["tables"] | {name: kept | fresh}})
+        kinds = at.meta["schemas"] | {name: _fields(rows, at.meta["schemas"].get(name))}
+        return self._swing(at.meta, at.meta | {"tables": at.meta["tables"] | {name: kept | fresh}, "schemas": kinds})
 
     def spill(self, rows: DataFrame, expected: int | None = None) -> int:
         """K-07: cold rows appended in one commit."""
@@ -318,6 +322,15 @@ class Store:
         fs.delete(p, False)
 
 
+def _fields(df: DataFrame, before: dict | None = None) -> dict:
+    """The schema of ``df``, and of fields that only an earlier part has."""
+    kind = df.schema.jsonValue()
+    for f in kind["fields"]:
+        f["nullable"] = True
+    known = {f["name"] for f in kind["fields"]}
+    return kind | {"fields": kind["fields"] + [f for f in (before or {"fields": []})["fields"] if f["name"] not in known]}
+
+
 @dataclass
 class Snapshot:
     """The tables of a store as of one epoch."""
@@ -332,14 +345,18 @@ class Snapshot:
     def exists(self, name: str) -> bool:
         return name in self.meta["tables"]
 
-    def open(self, paths: list[str]) -> DataFrame:
-        return self.store.spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*[f"{self.store.root}/{p}" for p in paths])
+    def open(self, paths: list[str], name: str) -> DataFrame:
+        """The folders of a table under its kept schema: no file is read to learn it, and a table may have no rows."""
+        spark, kind = self.store.spark, StructType.fromJson(self.meta["schemas"][name])
+        if not paths:
+            return spark.createDataFrame([], kind)
+        return spark.read.schema(kind).option("ignoreCorruptFiles", "true").parquet(*[f"{self.store.root}/{p}" for p in paths])
 
     def read(self, name: str) -> DataFrame:
         parts = self.meta["tables"][name]
         if isinstance(parts, dict):
-            return self.open(sorted(p for x in parts.values() for p in x))
-        df = self.open(parts)
+            return self.open(sorted(p for x in parts.values() for p in x), name)
+        df = self.open(parts, name)
         if name in self.meta["keys"] and len(parts) > 1:
             key, order = self.meta["keys"][name]
             rest = [c for c in df.columns if c not in key and c not in order]
@@ -353,7 +370,7 @@ class Snapshot:
         if column != "kern_id" or not isinstance(parts, dict):
             return self.read(name).where(hit)
         own = parts.get(str(self.store.bucket_of(kern_id, buckets)))
-        return (self.open(own) if own else self.read(name).limit(0)).where(hit)
+        return self.open(own or [], name).where(hit)
 
 
 def whole(df: DataFrame, column: str = "vector") -> DataFrame:
