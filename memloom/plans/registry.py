@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from memloom.plans import core_problems, scalar_queries, search_queries, upkeep_queries
+from memloom.plans import core_problems, scalar_queries, search_queries, store_queries, upkeep_queries
 
-MODULES = [core_problems, scalar_queries, search_queries, upkeep_queries]
+MODULES = [core_problems, scalar_queries, search_queries, store_queries, upkeep_queries]
 FLAGSHIP = "retrieve_hybrid"
 
 

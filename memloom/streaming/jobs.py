@@ -63,16 +63,16 @@ def replay_deltas(stream: DataFrame, store: Store, checkpoint: str, name: str =
     A batch commits, at once, what it exposes as a further part of the registers, the held changes and the numbers that
     arrived; a batch that is replayed after a failure changes nothing. :func:`end_feed` releases what is held.
     """
-    return stream.writeStream.foreachBatch(lambda batch, epoch: _step(store, name, batch, f"{name}-{epoch}")).option(
+    return stream.writeStream.foreachBatch(lambda batch, epoch: step(store, name, batch, f"{name}-{epoch}")).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def end_feed(store: Store, name: str = "feed") -> int:
     """The feed has ended: held transactions are released."""
-    return _step(store, name, None, f"{name}-end")
+    return step(store, name, None, f"{name}-end")
 
 
-def _step(store: Store, name: str, batch: DataFrame | None, batch_id: str) -> int:
+def step(store: Store, name: str, batch: DataFrame | None, batch_id: str) -> int:
     names = {k: f"{name}_{k}" for k in ("arrived", "held", "registers")}
     state = {k: store.read(n) for k, n in names.items() if store.exists(n)}
     new, _ = changefeed.advance(state, batch if batch is not None else changefeed.no_deltas(store.spark), closed=batch is None)

@@ -113,13 +113,13 @@ def test_stream_of_transactions_equals_batch(spark, tmp_path):
     batches = [rows[:40] + rows[60:150], rows[150:260] + rows[:30], late, rows[260:]]
     store, seen, before = Store(spark, f"file://{tmp_path}/s"), [], {}
     for i, b in enumerate(batches):
-        jobs._step(store, "feed", frame(spark, b), f"b{i}")
-        jobs._step(store, "feed", frame(spark, b), f"b{i}")  # replayed: nothing changes
+        jobs.step(store, "feed", frame(spark, b), f"b{i}")
+        jobs.step(store, "feed", frame(spark, b), f"b{i}")  # replayed: nothing changes
         seen += b
         now = state(store.read("feed_registers").where("not is_delete"))
         assert now == state(cf.replay(frame(spark, seen))), i
         before = now
-    jobs._step(store, "feed", frame(spark, [missing]), "b9")
+    jobs.step(store, "feed", frame(spark, [missing]), "b9")
     assert state(store.read("feed_registers").where("not is_delete")) == state(cf.replay(frame(spark, seen + [missing])))
     jobs.end_feed(store)
     assert state(store.read("feed_registers").where("not is_delete")) == fold(seen + [missing]) and store.read("feed_held").count() == 0 and before
