@@ -19,7 +19,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from memloom.llm.arrow import blocks, codepoints, list_array
 from memloom.session import spread
@@ -212,8 +213,20 @@ def vocabulary(name: str, folder: str = TOKENIZER_DIR) -> str:
     return str(Path(folder, f"{name}.tiktoken"))
 
 
+def shipped(spark: SparkSession, name: str, folder: str) -> str:
+    """The name under which workers find a vocabulary: the driver's file goes to every executor, which needs none of its own.
+
+    Byte-level vocabularies alone are known here; a name without one is refused before any task starts.
+    """
+    path = Path(vocabulary(name, folder))
+    if not path.is_file():
+        raise ValueError(f"no byte-level vocabulary {name!r} in {folder}; there are {sorted(p.stem for p in Path(folder).glob('*.tiktoken'))}")
+    spark.sparkContext.addFile(str(path))
+    return path.name
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, counts_only: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = Encoder(SparkFiles.get(path))
     for batch in batches:
         key, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in blocks(texts):
@@ -229,7 +242,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "
     Empty and null texts have an empty list; strings that look like special tokens are ordinary text. Nothing is shuffled
     unless the input has fewer partitions than the cluster runs tasks.
     """
-    path = vocabulary(tokenizer, folder)
+    path = shipped(docs.sparkSession, tokenizer, folder)
     return spread(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))).mapInArrow(
         lambda batches: _encoded(batches, path, False), "doc_id bigint, ids array<int>"
     )
@@ -238,7 +251,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", key: str = "doc_id", text: str = "text",
                  folder: str = TOKENIZER_DIR) -> DataFrame:
     """``doc_id, n_tokens`` of every row of ``docs``, as :func:`encode_corpus` but without the ids."""
-    path = vocabulary(tokenizer, folder)
+    path = shipped(docs.sparkSession, tokenizer, folder)
     return spread(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))).mapInArrow(
         lambda batches: _encoded(batches, path, True), "doc_id bigint, n_tokens int"
     )

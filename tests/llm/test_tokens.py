@@ -62,3 +62,9 @@ def test_operator(spark, reference):
     counts = {(r.doc_id, r.n_tokens) for r in tk.count_tokens(docs).collect()}
     assert (2, 0) in counts and (1, 2) in counts
     assert tk.encode_corpus(docs.limit(0)).count() == 0
+
+
+def test_unknown_vocabulary_is_refused_at_once(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    with pytest.raises(ValueError):
+        tk.encode_corpus(docs, "word_bpe_49k")
