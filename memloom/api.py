@@ -16,7 +16,7 @@ from memloom import config as configuration
 from memloom.functions import scalars as sc
 from memloom.functions import vec
 from memloom.operators import crdt, filters, index, maintenance, ranking, retrieval, search, stats, walks, writes
-from memloom.session import small, written
+from memloom.session import scratch, small, written
 from memloom.sources import embedding, intake
 from memloom.sources.store import StaleEpoch, Store, whole
 from memloom.streaming import feed
@@ -48,7 +48,8 @@ def atomic(method):
         for _ in range(5):
             self._at = self.store.snapshot()
             try:
-                return method(self, *args, **kwargs)
+                with scratch(self.spark):  # all is committed when the method returns
+                    return method(self, *args, **kwargs)
             except StaleEpoch:
                 continue
             finally:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,16 +129,17 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
     hybrid = s.mode == "hybrid" and bool(texts)
     # what doesn't depend on each other shares the cluster
     with ThreadPoolExecutor(4) as pool:
-        reasons_coming = pool.submit(lambda: written(reasons, "reasons"))
-        accesses_coming = pool.submit(lambda: written(accesses, "accesses"))
+        run = lambda f: pool.submit(copy_context().run, f)  # noqa: E731 - a scope of steps holds in its threads too
+        reasons_coming = run(lambda: written(reasons, "reasons"))
+        accesses_coming = run(lambda: written(accesses, "accesses"))
         entities = written(entities, "entities")
         passing = entities.where(keep).select("entity_id") if keep is not None else None
-        lexical_coming = pool.submit(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if hybrid else None
+        lexical_coming = run(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if hybrid else None
         reasons, accesses = reasons_coming.result(), accesses_coming.result()
-        hits_coming = pool.submit(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
-        important_coming = pool.submit(lambda: written(search.important(entities, accesses, queries, keep)))
-        half_coming = pool.submit(lambda: walk_graph(reasons, s))
-        votes_coming = pool.submit(lambda: written(walks.voting_edges(reasons, entities), "votes")) if hybrid else None
+        hits_coming = run(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
+        important_coming = run(lambda: written(search.important(entities, accesses, queries, keep)))
+        half_coming = run(lambda: walk_graph(reasons, s))
+        votes_coming = run(lambda: written(walks.voting_edges(reasons, entities), "votes")) if hybrid else None
         dense = written(pooled_seeds(hits_coming.result(), important_coming.result(), s))
         lexical = lexical_coming.result() if lexical_coming else None
         half, votes = half_coming.result(), votes_coming.result() if votes_coming else None

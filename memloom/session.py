@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, on one machine only (tests), one of our own where that is unset.
+
+    A cluster without the setting is refused: steps written to each machine's own disk would be read back incomplete.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"memloom-checkpoints-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -42,10 +49,33 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/memloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver, not before
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver at the latest
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scope: ContextVar[list | None] = ContextVar("steps", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end, the steps written inside: for services and streams, whose driver doesn't end. What is read from
+    them must have been collected or written elsewhere by then. A scope inside another leaves its steps to the outer one."""
+    if _scope.get() is not None:
+        yield
+        return
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; huge when unknown."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -62,4 +92,7 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs of several files already have them and stay where they are; a single small file would keep one core busy.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < want else df
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():  # counting its partitions would run it; a shuffle has spread it already
+        return df
+    return df.repartition(want) if plan.execute().getNumPartitions() < want else df

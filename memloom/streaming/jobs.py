@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from memloom.functions import scalars as sc
 from memloom.operators import changefeed
+from memloom.session import scratch
 from memloom.sources import intake
 from memloom.sources.store import Store
 
@@ -73,6 +74,11 @@ def end_feed(store: Store, name: str = "feed") -> int:
 
 
 def step(store: Store, name: str, batch: DataFrame | None, batch_id: str) -> int:
+    with scratch(store.spark):
+        return _stepped(store, name, batch, batch_id)
+
+
+def _stepped(store: Store, name: str, batch: DataFrame | None, batch_id: str) -> int:
     names = {k: f"{name}_{k}" for k in ("arrived", "held", "registers")}
     state = {k: store.read(n) for k, n in names.items() if store.exists(n)}
     new, _ = changefeed.advance(state, batch if batch is not None else changefeed.no_deltas(store.spark), closed=batch is None)

@@ -232,3 +232,16 @@ def test_absorb(spark, engine, tmp_path):
     assert engine.entities.count() >= e.count()
     with pytest.raises(ValueError):
         other.absorb(other)
+
+
+def test_steps_of_a_scope_are_deleted(spark):
+    from pathlib import Path
+
+    from memloom.session import scratch, shared_dir, written
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    with scratch(spark):
+        with scratch(spark):
+            df = written(spark.range(5), "scoped")
+        assert df.count() == 5 and list(folder.glob("memloom-scoped-*"))
+    assert not list(folder.glob("memloom-scoped-*"))
