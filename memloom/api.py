@@ -3,6 +3,7 @@ claim kinds, pulse, gc, health, ...). Methods build plans; writing ones commit a
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -20,6 +21,7 @@ from memloom.session import scratch, small, written
 from memloom.sources import embedding, intake
 from memloom.sources.store import StaleEpoch, Store, whole
 from memloom.streaming import feed
+from memloom.streaming.tasks import TaskQueue
 
 
 #: Buckets of entities and edges by their id: a change of few ids writes few of them. Least seconds between accesses that count.
@@ -64,8 +66,9 @@ class MemoryEngine:
     def __init__(self, spark: SparkSession, root: str, embedder: Callable[[list[str]], list] | None = None, settings: dict | None = None):
         self.spark, self.store, self.embedder = spark, Store(spark, root), embedder or embedding.hashed
         self.config = configuration.check(configuration.merge(configuration.DEFAULTS, settings or {}))
-        self.profile = Profile()
+        self.profile, self.tasks = Profile(), TaskQueue()
         self._at = None  # the snapshot that the running write reads
+        self._ticked = -1  # the epoch after the last round of upkeep
 
     # -- tables
     @property
@@ -230,7 +233,21 @@ class MemoryEngine:
         dim = filters.dominant_dim(self.entities).select("dim")
         base = stats.counts(self.kerns, self.entities, self.reasons)
         sizes = stats.gini(self.entities.groupBy("kern_id").agg(F.count("*").alias("n")), "n").withColumnRenamed("gini", "gini_partitions")
-        return base.join(F.broadcast(dim), F.lit(True), "left").join(F.broadcast(sizes), F.lit(True), "left").withColumn("epoch", F.lit(self.store.epoch))
+        e, at, r = self.entities, self._tables, self.config["retrieval"]
+        more = e.agg(  # all rows of one kind of figure in one pass
+            F.sum((F.col("status") == "superseded").cast("long")).alias("n_superseded"), F.sum((F.col("review") == "pending").cast("long")).alias("n_pending"),
+            F.sum((~F.coalesce(vec.usable(F.col("vector")), F.lit(False))).cast("long")).alias("n_without_vector"), F.sum(F.col("gnn_vector").isNotNull().cast("long")).alias("n_structured"),
+            F.sum(F.col("valid_until").isNotNull().cast("long")).alias("n_with_deadline"), F.sum(F.col("external_id").isNotNull().cast("long")).alias("n_versioned"),
+            F.sum(sc.is_remote(F.col("kern_id")).cast("long")).alias("n_remote"), F.max("updated_at").alias("last_update"), F.sum("heat").alias("heat"),
+            *[F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in sc.Fixed.ENTITY_KINDS])
+        edges = self.reasons.agg(F.sum((F.coalesce("to_id", F.lit("")) == "").cast("long")).alias("n_open_edges"),
+                                 *[F.sum((F.col("kind") == i).cast("long")).alias(f"n_{k}_edges") for i, k in enumerate(("similarity", "provenance", "question_of", "spawn", "supersedes", "ratification", "rephrase"))])
+        out = base.join(F.broadcast(dim), F.lit(True), "left").join(F.broadcast(sizes), F.lit(True), "left")
+        out = out.join(F.broadcast(more), F.lit(True), "left").join(F.broadcast(edges), F.lit(True), "left")  # rows of one
+        echo = {"epoch": at.epoch, "n_cold_parts": self.store.parts("cold_entities"), "n_log_parts": self.store.parts("access_log"), "indexed": at.exists("index_lists"),
+                "embed_stamp": json.dumps(at.meta.get("embed")), "failed_tasks": self.tasks.counts["failed"], "refused_tasks": self.tasks.counts["refused"],
+                **{f"cfg_{k}": r[k] for k in ("seed_k", "max_expansions", "deliver", "floor", "mode", "lexical_weight")}, "cfg_dedup_threshold": self.config["ingest"]["dedup_threshold"]}
+        return out.select("*", *[F.lit(v).alias(k) for k, v in echo.items()])
 
     def list_partitions(self) -> DataFrame:
         """A-06."""
@@ -496,6 +513,36 @@ class MemoryEngine:
         """M-15 to M-17."""
         return self._replace("entities", maintenance.apply_structure(self.entities, maintenance.structure_vectors(self.entities, self.reasons, dim, least)))
 
+    @atomic
+    def reembed_dirty(self) -> int:
+        """M-12: embed the entities whose text has no usable vector, and those only; how many got one."""
+        dim = (filters.dominant_dim(self.entities).first() or [None])[0]
+        e = self.entities
+        usable = vec.usable(F.col("vector")) & (F.size("vector") == dim) if dim else vec.usable(F.col("vector"))
+        dirty = e.where(~F.coalesce(usable, F.lit(False)) & (F.length(F.coalesce("text", F.lit(""))) > 0) & (F.col("status") == "active"))
+        done = written(embedding.embedded(dirty.drop("vector"), "text", self.embedder).select(e.columns).where(vec.usable(F.col("vector"))), "embedded")
+        n = done.count()
+        if n:
+            self._upsert("entities", done, "entity_id")
+        return n
+
+    @atomic
+    def name_partitions(self, dim: int, model: Callable[[str], str] | None = None, size: int | None = None, cohesion: float | None = None) -> int:
+        """M-08: unnamed partitions with a big cohesive cluster get a name and its vector; those unlike every attractor move to the root."""
+        c = maintenance.clusters(self.entities, dim)
+        how = {k: v for k, v in (("size", size), ("cohesion", cohesion)) if v is not None}
+        names = written(maintenance.naming(c, maintenance.centroids(c, self.entities, self.kerns), self.entities, model, **how).where("length(name) > 0"), "names")
+        n = names.count()
+        if n:
+            held = self.entities.join(c.join(names.select("kern_id", "cluster"), ["kern_id", "cluster"]).select("entity_id"), "entity_id", "left_semi")
+            pooled = vec.mean_pool(held.where(vec.usable(F.col("vector"))), ["kern_id"], "vector")
+            new = names.join(pooled, "kern_id", "left").select("kern_id", "name", F.col("pooled").cast("array<float>").alias("pooled"))
+            k = self.kerns.join(new, "kern_id", "left").withColumn("graviton_text", F.coalesce("name", "graviton_text")).withColumn("graviton_vec", F.coalesce("pooled", "graviton_vec"))
+            k = written(k.select(self.kerns.columns), "kerns")
+            up = maintenance.promotable(k, self._attractors()).select("kern_id", F.lit("root").alias("up"))
+            self._replace("kerns", k.join(up, "kern_id", "left").withColumn("parent_id", F.coalesce("up", "parent_id")).drop("up"))
+        return n
+
     @atomic
     def reembed(self) -> int:
         """W-19."""
@@ -549,9 +596,11 @@ class MemoryEngine:
 
     @atomic
     def tick(self, now: datetime | str | None = None, dim: int | None = None) -> dict[str, int]:
-        """M-01: one round of upkeep: a pulse, collection, evidence decay, spawning from clusters, eviction."""
-        self.fold_accesses()
-        done = {"pulsed": self.pulse().count(), "spilled": self.gc(now)}
+        """M-01: one round of upkeep: accesses folded, a pulse, collection, evidence decay, embedding of what has no vector,
+        spawning from clusters, naming, eviction, the index. A store that didn't change since the last round is passed over (K-05)."""
+        if self._ticked == self._at.epoch:
+            return {"pulsed": 0, "spilled": 0, "moved": 0, "evicted": 0}
+        done = {"folded": self.fold_accesses(), "pulsed": self.pulse().count(), "spilled": self.gc(now), "embedded": self.reembed_dirty()}
         half = self.config["heat"]["evidence_half_life_secs"]
         if half > 0:
             self._replace("entities", maintenance.decay_evidence(self.entities, self._now(now), half))
@@ -567,7 +616,12 @@ class MemoryEngine:
                 kerns = self.kerns.unionByName(shells.join(self.kerns.select("kern_id"), "kern_id", "left_anti"), allowMissingColumns=True)
                 e, r = writes.move(self.entities, self.reasons, moves.select("entity_id", F.col("new_part").alias("kern_id")), kerns)
                 self._commit({"kerns": kerns, "entities": e, "reasons": r})
-        return done | {"evicted": self.evict_empty()}
+            done["named"] = self.name_partitions(dim)
+        done["evicted"] = self.evict_empty()
+        if self._tables.exists("index_lists"):
+            done["indexed"] = int(self.consolidate())
+        self._ticked = self._at.epoch
+        return done
 
     def intake_status(self, folder: str) -> dict[str, int]:
         """A-08."""

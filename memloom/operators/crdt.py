@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import scalars as sc
-from memloom.operators import changefeed
+from memloom.operators import changefeed, ranking
 
 COUNTER_MAX, REMOTE_CAP, HOT_BATCH = 1_000_000, 50_000, 32
 ACCESS, TRAVERSAL = 0, 1
@@ -209,6 +209,48 @@ def first_seen(frames: DataFrame, key: list[str], ttl_s: int = 60) -> DataFrame:
     return frames.withColumn("slot", slot).groupBy(*key, "slot").agg(F.min("ts").alias("ts"), F.count("*").alias("n_sights"))
 
 
+def first_seen_sliding(frames: DataFrame, key: list[str], ttl_s: int = 60) -> DataFrame:
+    """C-11: (key, ts_us) of the frames that count as new: the first sight of a key, and each at least ``ttl_s`` after the last that
+    counted, wherever slot borders lie. Repeats renew nothing.
+
+    Rows are sorted within partitions and folded as they stream by, so a key seen a third of the time is never gathered.
+    """
+    named = F.concat_ws("\u0000", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in key])
+    new = ranking.accepted_accesses(frames.select(named.alias("entity_id"), "ts"), ttl_s)
+    parts = F.split("entity_id", "\u0000")
+    return new.select(*[F.when(parts[i] != "\u0001", parts[i]).alias(c) for i, c in enumerate(key)], "ts_us")
+
+
+def apply_contract(state: DataFrame, delta: DataFrame, now: Column, writers: list[str] | None = None, kinds: list[str] | None = None,
+                   cap: int = REMOTE_CAP, ttl_s: int | None = None, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """C-10, C-20: (new state, refused rows with ``reason``) after a delta of a contract.
+
+    ``state`` and ``delta`` have entity_id, text, lamport, producer_id, kind, valid_until and retired. Rows are refused for a forged
+    id, then the writer, then the kind; a retirement for a writer that isn't the ``owner``. If the new ids don't fit the cap the whole
+    delta is refused. Of what is left the greatest (lamport, producer) of an id stands; a retirement stands against
+    anything older. Deadlines of what came in are at most ``ttl_s`` from now.
+    """
+    cols = ["entity_id", "text", "lamport", "producer_id", "kind", "valid_until", "retired"]
+    why = F.when(F.coalesce("retired", F.lit(False)) & F.lit(owner is not None) & ~F.col("producer_id").eqNullSafe(F.lit(owner)), "retired_by_another").otherwise(
+        refusal(F.col("entity_id"), F.col("text"), F.col("producer_id"), writers or [], F.col("kind"), kinds or []))
+    # a retirement has no body to match
+    why = F.when(F.coalesce("retired", F.lit(False)) & F.col("text").isNull() & (F.lit(owner is None) | F.col("producer_id").eqNullSafe(F.lit(owner))), F.lit(None).cast("string")).otherwise(why)
+    judged = delta.select(*cols, why.alias("reason"))
+    fits = within_cap(state.where("not coalesce(retired, false)"), judged.where("reason is null and not coalesce(retired, false)"), cap).select("fits")
+    judged = judged.join(F.broadcast(fits), F.lit(True)).withColumn("reason", F.when(F.col("reason").isNull() & ~F.col("fits"), "over_cap").otherwise(F.col("reason")))
+    good = judged.where("reason is null").select(cols)
+    good = forced_ttl(good, now, ttl_s) if ttl_s else good
+    rank = F.struct("lamport", F.coalesce("producer_id", F.lit("")).alias("p"), F.coalesce("retired", F.lit(False)).alias("r"))
+    both = state.select(cols).unionByName(good).groupBy("entity_id").agg(F.max_by(F.struct(*cols[1:]), rank).alias("x"))
+    return both.select("entity_id", "x.*"), judged.where("reason is not null").select(*cols, "reason")
+
+
+def fetched(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """C-14: (entity_id, text) of the asked ids that are held, without any whose body doesn't match its id."""
+    found = held.select("entity_id", "text").join(wanted.select("entity_id").distinct(), "entity_id", "left_semi")
+    return found.where(F.coalesce(sc.id_matches_body(F.col("entity_id"), F.col("text")), F.lit(False)))
+
+
 def flush_buffer(deltas: DataFrame) -> DataFrame:
     """C-18: the last delta of each (object, target) by arrival."""
     last = deltas.groupBy("object_id", "target").agg(F.max(F.struct("arrival_seq", "replica", "value", "lamport", "producer")).alias("d"))

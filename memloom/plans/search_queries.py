@@ -439,7 +439,10 @@ def id_lookup(spark: SparkSession, d: str) -> DataFrame:
     return ranking.lookup(w, b.entities(spark, d), b.now())
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  a AS (SELECT user_id, min(t) AS t FROM f GROUP BY ALL UNION ALL
+    SELECT a.user_id, (SELECT min(f.t) FROM f WHERE f.user_id = a.user_id AND f.t >= a.t + 3600000000) AS t FROM a WHERE a.t IS NOT NULL)
+  SELECT user_id::VARCHAR AS entity_id, count(*) AS n_accepted, min(t) AS first_us FROM a WHERE t IS NOT NULL GROUP BY ALL""")
 def access_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """R-22, T-01: events as accesses, those that count under a cooldown."""
     log = table(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"))

@@ -370,6 +370,31 @@ def seen_set(spark: SparkSession, d: str) -> DataFrame:
     return crdt.first_seen(f, ["user_id", "event_type"], 3600).select("user_id", "event_type", "slot", F.unix_micros("ts").alias("ts_us"), "n_sights")
 
 
+_FOLD = """WITH RECURSIVE f AS (SELECT DISTINCT {key}, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  a AS (SELECT {key}, min(t) AS t FROM f GROUP BY ALL UNION ALL
+    SELECT {outer}, (SELECT min(f.t) FROM f WHERE {match} AND f.t >= a.t + {ttl}) AS t FROM a WHERE a.t IS NOT NULL)"""
+
+
+@query(_FOLD.format(key="user_id, event_type", outer="a.user_id, a.event_type", match="f.user_id = a.user_id AND f.event_type = a.event_type", ttl=3_600_000_000)
+       + " SELECT user_id::VARCHAR AS user_id, event_type::VARCHAR AS event_type, t AS ts_us FROM a WHERE t IS NOT NULL")
+def seen_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """C-11: sights that count as new under a sliding hour."""
+    f = table(spark, d, "events").where("user_id is not null and event_type is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return crdt.first_seen_sliding(f, ["user_id", "event_type"], 3600)
+
+
+@query(with_(E_SQL) + """, d AS (SELECT object_id AS entity_id, max(lamport) AS lamport FROM pending_deltas WHERE lamport IS NOT NULL GROUP BY object_id),
+  n AS (SELECT e.entity_id, kind FROM e JOIN d USING (entity_id) WHERE kind IN ('fact', 'claim') AND sha256(text) = e.entity_id)
+  SELECT entity_id, kind FROM n""")
+def contract_apply(spark: SparkSession, d: str) -> DataFrame:
+    """C-10, C-14, C-20: a contract's state after a delta of the entities that were changed, of two admissible kinds."""
+    e = b.entities(spark, d)
+    lamport = table(spark, d, "pending_deltas").where("lamport is not null").groupBy(F.col("object_id").alias("entity_id")).agg(F.max("lamport").alias("lamport"))
+    delta = e.join(lamport, "entity_id").select("entity_id", "text", "lamport", "producer_id", "kind", "valid_until", F.lit(False).alias("retired"))
+    state, _ = crdt.apply_contract(delta.limit(0), delta, b.now(), kinds=["fact", "claim"], cap=1 << 40)
+    return crdt.fetched(state, state).join(state.select("entity_id", "kind"), "entity_id").select("entity_id", "kind")
+
+
 @query("SELECT object_id, target, arrival_seq, replica, value FROM pending_deltas QUALIFY row_number() OVER (PARTITION BY object_id, target ORDER BY arrival_seq DESC) = 1")
 def delta_buffer(spark: SparkSession, d: str) -> DataFrame:
     """C-18."""

@@ -66,6 +66,25 @@ def debounced(records: DataFrame, patterns: list[str] | None = None) -> DataFram
     return best.select("source_uri", "e.*")
 
 
+def watch_records(events: DataFrame, patterns: list[str] | None = None, denied: list[str] | None = None) -> DataFrame:
+    """S-07, S-08: records of ``events(path, event, old_path, content, at)``, event being create, modify, rename or delete.
+
+    Of each path that isn't ignored the last event counts. A delete gives no record; a rename carries ``replaces``, the path it
+    left, unless something was written there since. Empty, binary (null) and too large contents give none.
+    """
+    ok = events.where(F.col("path").isNotNull() & F.col("at").isNotNull() & ~ignored(F.col("path"), patterns, denied))
+    last = ok.groupBy("path").agg(
+        F.max_by(F.struct("event", "content", "at"), F.struct("at", (F.col("event") == "delete").alias("d"))).alias("e"),
+        F.max_by("old_path", F.when(F.col("event") == "rename", F.col("at"))).alias("old_path"))
+    alive = last.where("e.event <> 'delete'").select("path", "e.content", "e.at", "old_path")
+    again = alive.select(F.col("path").alias("old_path"), F.col("at").alias("again"))
+    joined = alive.join(again, "old_path", "left")
+    fits = (F.length("content") > 0) & (F.octet_length("content") <= WATCH_BYTES)
+    return joined.where(F.coalesce(fits, F.lit(False))).select(
+        F.concat(F.lit("file://"), F.col("path")).alias("source_uri"), "content", F.when(F.col("again").isNull(), F.concat(F.lit("file://"), F.col("old_path"))).alias("replaces"),
+        F.col("at").alias("modified_at"), extension_language(F.col("path")).alias("language"))
+
+
 def report(records: DataFrame) -> DataFrame:
     """A-08: records by what became of them: archived (nothing in it), failed (too big), stuck (no time), done."""
     status = F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, "archived").when(F.octet_length("content") > WATCH_BYTES, "failed").when(
