@@ -62,21 +62,23 @@ def pooled_seeds(hits: DataFrame, important: DataFrame, s: Settings) -> DataFram
     return vec.top_k(pooled, s.seed_k, "score").select("query_id", "entity_id", "score")
 
 
-def walk_graph(reasons: DataFrame, s: Settings) -> DataFrame:
-    """Half-edges (reason_id, u, v, score, hub) of the edges a walk may use, written."""
+def walk_graph(reasons: DataFrame, s: Settings) -> tuple[DataFrame, int, bool]:
+    """Half-edges (reason_id, u, v, score, hub) of the edges a walk may use, written, their number and whether there are hubs."""
     half = walks.half_edges(walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score"))
     hubs = half.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > s.max_expansions).select("u", F.lit(True).alias("hub"))
-    return written(half.join(hubs, "u", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "half")
+    half = written(half.join(hubs, "u", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "half")
+    n, hub = half.agg(F.count("*"), F.coalesce(F.max("hub"), F.lit(False))).first()
+    return half, n, hub
 
 
 def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None,
-              read_whole: int = walks.READ_WHOLE, half: DataFrame | None = None) -> DataFrame:
+              read_whole: int = walks.READ_WHOLE, graph: tuple[DataFrame, int, bool] | None = None) -> DataFrame:
     """R-07, R-08: walks of every query, each over what it reaches; a graph of at most ``read_whole`` half-edges over all
     queries is read at once, a larger one round by round, with the same result."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
         seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
-    half = half if half is not None else walk_graph(reasons, s)
+    half, n, hubs = graph or walk_graph(reasons, s)
     q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     vectors = entities.select("entity_id", "vector")
     tasks, names, matrix = entities.sparkSession.sparkContext.defaultParallelism, [str(n) for n, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
@@ -105,7 +107,6 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     cosines = written(seeds.select("query_id", "entity_id").distinct().join(vectors, "entity_id").join(q, "query_id").select(
         "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine")))
-    n, hubs = half.agg(F.count("*"), F.coalesce(F.max("hub"), F.lit(False))).first()
     return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs, whole=n * len(queries) <= read_whole)
 
 
@@ -128,7 +129,7 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
     spark = entities.sparkSession
     hybrid = s.mode == "hybrid" and bool(texts)
     # what doesn't depend on each other shares the cluster
-    with ThreadPoolExecutor(4) as pool:
+    with ThreadPoolExecutor(6) as pool:
         run = lambda f: pool.submit(copy_context().run, f)  # noqa: E731 - a scope of steps holds in its threads too
         reasons_coming = run(lambda: written(reasons, "reasons"))
         accesses_coming = run(lambda: written(accesses, "accesses"))
@@ -138,16 +139,21 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
         reasons, accesses = reasons_coming.result(), accesses_coming.result()
         hits_coming = run(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
         important_coming = run(lambda: written(search.important(entities, accesses, queries, keep)))
-        half_coming = run(lambda: walk_graph(reasons, s))
-        votes_coming = run(lambda: written(walks.voting_edges(reasons, entities), "votes")) if hybrid else None
+        graph_coming = run(lambda: walk_graph(reasons, s))
+
+        def voting() -> tuple[DataFrame, int]:
+            votes = written(walks.voting_edges(reasons, entities), "votes")
+            return votes, votes.count()
+
+        votes_coming = run(voting) if hybrid else None
         dense = written(pooled_seeds(hits_coming.result(), important_coming.result(), s))
         lexical = lexical_coming.result() if lexical_coming else None
-        half, votes = half_coming.result(), votes_coming.result() if votes_coming else None
+        graph, votes = graph_coming.result(), votes_coming.result() if votes_coming else None
     important = important_coming.result()
     q = F.broadcast(spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     seeds = dense
     if hybrid:
-        ppr = walks.pagerank(votes, dense.unionByName(lexical), s.pagerank_rounds).where("rank > 0")
+        ppr = walks.pagerank(votes[0], dense.unionByName(lexical), s.pagerank_rounds, n_edges=votes[1]).where("rank > 0")
         ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
         fused = written(ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k), "fused")
         texted = [n for n, _ in texts]
@@ -155,7 +161,7 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
         cos = entities.select("entity_id", "vector").join(small(fused.select("query_id", "entity_id")), "entity_id").join(q, "query_id").select(
             "query_id", "entity_id", F.nanvl(F.round(vec.cosine(F.col("vector"), F.col("qv")), 6), F.lit(0.0)).alias("cosine"))
         seeds = written(ranking.rescore(fused, cos).unionByName(dense.where(~F.col("query_id").isin(texted))))
-    walked = expansion(entities, reasons, queries, s, seeds, half=half)
+    walked = expansion(entities, reasons, queries, s, seeds, graph=graph)
     hits = walked.where("kind = 'hit'").select("query_id", "entity_id", "score")
     pooled = written(ranking.log_sum_exp(hits.unionByName(seeds), ["query_id", "entity_id"]), "pool")
     found = entities.join(small(pooled.select("entity_id").distinct()), "entity_id", "left_semi")
