@@ -138,6 +138,65 @@ def _score(batches: Iterator[pa.RecordBatch], queries: np.ndarray, names: list,
         )
 
 
+#: Stands for an undefined cosine in a block of edges.
+NO_COSINE = -2000.0
+
+
+def _ends(va: pa.Array, vb: pa.Array, ka: np.ndarray, kb: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Usable vectors of both ends of edges as rows of matrices, and their midpoints; 0 where one isn't usable."""
+    a, b = np.zeros((len(ka), dim)), np.zeros((len(kb), dim))
+    a[ka] = np.asarray(va.filter(pa.array(ka)).flatten(), dtype=np.float64).reshape(-1, dim)
+    b[kb] = np.asarray(vb.filter(pa.array(kb)).flatten(), dtype=np.float64).reshape(-1, dim)
+    mid = ((a + b) / 2).astype(np.float32).astype(np.float64)
+    mid[~(ka & kb)] = 0
+    return a, b, mid
+
+
+def _odd_cosine(x: list | None, q: np.ndarray) -> float:
+    """F-02 of a vector that isn't usable: over the shorter length."""
+    v = np.array([np.nan if e is None else e for e in x or []], dtype=np.float64)
+    y = q[: len(v)]
+    both = np.linalg.norm(v[: len(q)]) * np.linalg.norm(y)
+    return (v[: len(q)] @ y / both if np.isfinite(both) else np.nan) if not both <= 0 else 0.0
+
+
+def edge_blocks(batches: Iterator[pa.RecordBatch], names: list[str], queries: np.ndarray, w_reason: float, w_edge: float) -> Iterator[pa.RecordBatch]:
+    """Edges (e, u, v, score, va, vb, ka, kb), numbered, as a row (query_id, block) for each batch and query, scored as by
+    :func:`edge_cosines` and ``scalars.edge_evidence``. A block holds, one after the other, e, u and v as 64-bit integers and the
+    evidence, u's cosine and v's cosine in millionths as 32-bit ones (an undefined cosine as NO_COSINE), so that what is
+    shuffled is a few rows of numbers."""
+    norms, dim = np.linalg.norm(queries, axis=1), queries.shape[1]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ka, kb = (np.asarray(batch.column(i).fill_null(False)).astype(bool) for i in (6, 7))
+        ends = _ends(batch.column(4), batch.column(5), ka, kb, dim)
+        sizes = [np.linalg.norm(x, axis=1) for x in ends]
+        odd = [(np.flatnonzero(~k), batch.column(i).filter(pa.array(~k)).to_pylist()) for k, i in ((ka, 4), (kb, 5))]
+        score = np.asarray(batch.column(3).cast(pa.float64()).fill_null(0.0))
+        strength = np.where(np.isnan(score), 1.0, np.clip(score, 0.0, 1.0))  # a NaN counts as the greatest
+        numbers = [np.asarray(batch.column(i)).astype(np.int64).tobytes() for i in (0, 1, 2)]
+        blocks = []
+        for q, size in zip(queries, norms):
+            near = [np.divide(x @ q, n * size, out=np.zeros(len(x)), where=n * size > 0) for x, n in zip(ends, sizes)]
+            for cos, (at, held) in zip(near, odd):
+                cos[at] = [_odd_cosine(x, q) for x in held]
+            evidence = w_reason * near[2] + w_edge * strength
+            blocks.append(b"".join([*numbers, *[np.round(np.nan_to_num(x, nan=NO_COSINE) * 1e6).astype(np.int32).tobytes() for x in (evidence, near[0], near[1])]]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blocks, pa.binary())], ["query_id", "block"])
+
+
+def edges_of_blocks(blocks) -> list[np.ndarray]:
+    """e, u, v, evidence, u's cosine and v's cosine of the edges in blocks."""
+    held = [(np.frombuffer(x, np.int64, 3 * (len(x) // 36)).reshape(3, -1), np.frombuffer(x, np.int32, offset=24 * (len(x) // 36)).reshape(3, -1)) for x in blocks]
+    if not held:
+        return [np.zeros(0, dtype=t) for t in (np.int64,) * 3 + (np.float64,) * 3]
+    numbers = np.concatenate([x for x, _ in held], axis=1)
+    scores = np.concatenate([x for _, x in held], axis=1) / 1e6
+    scores[scores == NO_COSINE] = np.nan
+    return [*numbers, *scores]
+
+
 def edge_cosines(batches: Iterator[pa.RecordBatch], names: list[str], queries: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Half-edges (query_id, reason_id, u, v, hub, score, va, vb, ka, kb) with the cosine of vb and of the midpoint of va and vb to
     their query, or to every query where query_id is null. ``ka``, ``kb`` say whether a vector is usable: without both the
@@ -149,11 +208,7 @@ def edge_cosines(batches: Iterator[pa.RecordBatch], names: list[str], queries: n
         if not n:
             continue
         ka, kb = (np.asarray(batch.column(i).fill_null(False)).astype(bool) for i in (8, 9))
-        a, b = np.zeros((n, dim)), np.zeros((n, dim))
-        a[ka] = np.asarray(batch.column(6).filter(pa.array(ka)).flatten(), dtype=np.float64).reshape(-1, dim)
-        b[kb] = np.asarray(batch.column(7).filter(pa.array(kb)).flatten(), dtype=np.float64).reshape(-1, dim)
-        mid = ((a + b) / 2).astype(np.float32).astype(np.float64)
-        mid[~(ka & kb)] = 0
+        a, b, mid = _ends(batch.column(6), batch.column(7), ka, kb, dim)
         asked = batch.column(0).to_pylist()
         if asked[0] is None:
             rows, who = np.repeat(np.arange(n), len(names)), np.tile(np.arange(len(names)), n)
@@ -169,10 +224,7 @@ def edge_cosines(batches: Iterator[pa.RecordBatch], names: list[str], queries: n
         near, between = cos(b), cos(mid)
         odd = np.flatnonzero(~kb[rows])
         for i, x in zip(odd.tolist(), batch.column(7).take(pa.array(rows[odd])).to_pylist()):
-            x = np.array([np.nan if e is None else e for e in x or []], dtype=np.float64)
-            y = queries[who[i]][: len(x)]
-            both = np.linalg.norm(x[:dim]) * np.linalg.norm(y)
-            near[i] = (x[:dim] @ y / both if np.isfinite(both) else np.nan) if not both <= 0 else 0.0
+            near[i] = _odd_cosine(x, queries[who[i]])
         take = pa.array(rows)
         cols = [pa.array([names[i] for i in who.tolist()], pa.string()), *[batch.column(i).take(take) for i in range(1, 6)],
                 pa.array(near, from_pandas=True), pa.array(between)]

@@ -63,7 +63,7 @@ def pooled_seeds(hits: DataFrame, important: DataFrame, s: Settings) -> DataFram
 
 
 def walk_graph(reasons: DataFrame, s: Settings) -> tuple[DataFrame, int, bool]:
-    """Half-edges (reason_id, u, v, score, hub) of the edges a walk may use, written, their number and whether there are hubs."""
+    """Half-edges (reason_id, u, v, score, first, hub) of the edges a walk may use, written, their number and whether there are hubs."""
     half = walks.half_edges(walks.local_edges(reasons).select("reason_id", F.col("from_id").alias("u"), F.col("to_id").alias("v"), "score"))
     hubs = half.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > s.max_expansions).select("u", F.lit(True).alias("hub"))
     half = written(half.join(hubs, "u", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "half")
@@ -72,42 +72,49 @@ def walk_graph(reasons: DataFrame, s: Settings) -> tuple[DataFrame, int, bool]:
 
 
 def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None,
-              read_whole: int = walks.READ_WHOLE, graph: tuple[DataFrame, int, bool] | None = None) -> DataFrame:
+              read_whole: int = walks.WALK_WHOLE, graph: tuple[DataFrame, int, bool] | None = None) -> DataFrame:
     """R-07, R-08: walks of every query, each over what it reaches; a graph of at most ``read_whole`` half-edges over all
-    queries is read at once, a larger one round by round, with the same result."""
+    queries, of which a task can hold one, is read at once, a larger one round by round, with the same result."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     if seeds is None:
         seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
     half, n, hubs = graph or walk_graph(reasons, s)
     q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
-    vectors = entities.select("entity_id", "vector")
     tasks, names, matrix = entities.sparkSession.sparkContext.defaultParallelism, [str(n) for n, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
     dim = matrix.shape[1] if len(queries) else 0
-
-    def scored(near: DataFrame, held: DataFrame) -> DataFrame:
-        """Half-edges with the cosine of v and of the midpoint, once or, without a query_id, for every query."""
-        usable = (F.size("vector") == dim) & vec.usable(F.col("vector"))
-        held = held.withColumn("ok", usable)
+    usable = (F.size("vector") == dim) & vec.usable(F.col("vector"))
+    whole = n <= walks.WALK_ALONE and n * len(queries) <= read_whole
+    vectors = entities.select("entity_id", "vector")
+    if whole:
+        lost = seeds.select("entity_id").distinct().join(vectors.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("known"))
+        nodes = written(walks.numbered(vectors.withColumn("known", F.lit(True)).unionByName(lost), "entity_id", "n"), "nodes")
+        vectors = nodes.where("known").select("entity_id", "vector")
+    else:
+        vectors = written(vectors, "vectors")
+    cosines = written(vectors.join(small(seeds.select("query_id", "entity_id").distinct()), "entity_id").join(q, "query_id").select(
+        "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine")))
+    if whole:
+        edges = written(walks.numbered(half.where("first").drop("first"), "reason_id", "e"), "edges")
+        held = nodes.where("known").select("entity_id", "n", "vector", usable.alias("ok"))
+        both = edges.join(held.select(F.col("entity_id").alias("u"), F.col("n").alias("nu"), F.col("vector").alias("va"), F.col("ok").alias("ka")), "u").join(
+            held.select(F.col("entity_id").alias("v"), F.col("n").alias("nv"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "v")
+        blocks = both.select("e", "nu", "nv", "score", "va", "vb", "ka", "kb").mapInArrow(
+            lambda it: vec.edge_blocks(it, names, matrix, w_reason, w_edge), "query_id string, block binary")
+        return walks.expand_whole(seeds, cosines, nodes, edges, blocks, w_content, s.max_expansions)
+
+    def read(front: DataFrame) -> DataFrame:
+        """Half-edges from ``front(query_id, entity_id)``, to known entities. Vectors are read for their ends only."""
+        near = written(half.join(small(front.withColumnRenamed("entity_id", "u")), "u"), "near")
+        ends = near.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct()
+        held = written(vectors.join(small(ends), "entity_id", "left_semi").withColumn("ok", usable), "ends")
         both = near.join(held.select(F.col("entity_id").alias("v"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "v").join(
             held.select(F.col("entity_id").alias("u"), F.when(F.col("ok"), F.col("vector")).alias("va"), F.col("ok").alias("ka")), "u").repartition(tasks)
-        one = "query_id" if "query_id" in near.columns else F.lit(None).cast("string").alias("query_id")
-        out = both.select(one, "reason_id", "u", "v", "hub", "score", "va", "vb", "ka", "kb").mapInArrow(
+        out = both.select("query_id", "reason_id", "u", "v", "hub", "score", "va", "vb", "ka", "kb").mapInArrow(
             lambda it: vec.edge_cosines(it, names, matrix), "query_id string, reason_id string, u string, v string, hub boolean, score double, cosine double, mid double")
         return out.select("query_id", "reason_id", "u", "v", "hub", F.round("cosine", 6).alias("cosine"),
                           F.round(sc.edge_evidence(F.col("mid"), F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
 
-    def read(front: DataFrame | None) -> DataFrame:
-        """Half-edges from ``front(query_id, entity_id)``, to known entities. Vectors are read for their ends only."""
-        if front is None:
-            return scored(half, vectors)
-        near = written(half.join(small(front.withColumnRenamed("entity_id", "u")), "u"), "near")
-        ends = written(near.select(F.explode(F.array("u", "v")).alias("entity_id")).distinct(), "ends")
-        return scored(near, written(vectors.join(small(ends), "entity_id", "left_semi"), "ends"))
-
-    q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
-    cosines = written(seeds.select("query_id", "entity_id").distinct().join(vectors, "entity_id").join(q, "query_id").select(
-        "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine")))
-    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs, whole=n * len(queries) <= read_whole)
+    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs)
 
 
 def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),

@@ -497,12 +497,12 @@ def _beam(spark: SparkSession, d: str, read_whole: int) -> DataFrame:
 @query()
 def beam_expand(spark: SparkSession, d: str) -> DataFrame:
     """R-07, R-08: best-first walks from every attractor's seeds, with traversal credit."""
-    return _beam(spark, d, walks.READ_WHOLE)
+    return _beam(spark, d, walks.WALK_WHOLE)
 
 
 @query()
 def beam_in_rounds(spark: SparkSession, d: str) -> DataFrame:
-    """R-07, R-08 read round by round, as graphs above READ_WHOLE are."""
+    """R-07, R-08 read round by round, as graphs above WALK_WHOLE are."""
     return _beam(spark, d, 0)
 
 

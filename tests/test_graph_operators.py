@@ -243,3 +243,48 @@ def test_kind_closure_cycle(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("z", None)], "child string, parent string")
     got = {r.reached for r in filters.closure(spark, edges).where(F.col("start") == "a").collect()}
     assert got == {"a", "b", "c"}
+
+
+def test_whole_and_rounds_agree(spark, monkeypatch):
+    """A graph above 2^20 half-edges over all queries is still walked without rounds, and both forms give the same hits and chains: with
+    loops, parallels, a hub, unusable vectors, an unknown end and an unknown seed."""
+    rng = np.random.default_rng(5)
+    ids = [f"n{i:02}" for i in range(40)]
+    vectors = {e: [float(x) for x in rng.normal(size=3)] for e in ids} | {"n07": None, "n08": [1.0], "n09": [0.0, 0.0, 0.0], "n10": [float("nan"), 1.0, 0.0]}
+    links = [(ids[a], ids[b]) for a, b in rng.integers(0, 40, (90, 2))] + [("n00", x) for x in ids[1:20]] + [("n03", "n03"), ("n03", "n04"), ("n03", "n04"), ("n05", "lost")]
+    entities = spark.createDataFrame(list(vectors.items()), "entity_id string, vector array<float>")
+    reasons = spark.createDataFrame([(f"e{(i * 37) % 200:03}", u, v, 0, [0.9, None, 0.2, 2.0][i % 4], None) for i, (u, v) in enumerate(links)],
+                                    "reason_id string, from_id string, to_id string, kind int, score double, to_net_id string")
+    queries = [("a", [1.0, 0.2, 0.0]), ("b", [-0.3, 0.5, 1.0])]
+    seeds = spark.createDataFrame([("a", "n01", 0.9), ("a", "gone", 0.8), ("a", "n00", 0.2), ("b", "n20", 0.4)], "query_id string, entity_id string, score double")
+    read = []
+    monkeypatch.setattr(walks, "expand", lambda *a, f=walks.expand, **k: read.append(1) or f(*a, **k))
+    for most in (12, 800):
+        s, got = retrieval.Settings(max_expansions=most), []
+        for whole in (walks.WALK_WHOLE, 0):
+            rows = retrieval.expansion(entities, reasons, queries, s, seeds, whole).where("kind <> 'open'").collect()
+            got.append({(r.query_id, r.kind, r.entity_id, tuple(r.nodes), r.chain_no): r.score for r in rows})
+        assert got[0] == pytest.approx(got[1], abs=2e-6) and len(got[0]) > 20
+    assert len(read) == 2
+    graph = (retrieval.walk_graph(reasons, s)[0], (1 << 20) // 2 + 1, False)
+    assert retrieval.expansion(entities, reasons, queries, s, seeds, graph=graph).count() and len(read) == 2
+
+
+def test_hops_ahead_end_with_room(spark, monkeypatch):
+    """A round reads ahead as many entities as a walk may pop, not that many for each of ever more hops."""
+    links = [(f"n{i}", f"n{c}") for i in range(1, 200) for c in (2 * i, 2 * i + 1)]
+    ahead = []
+
+    def written(df, label="step", f=walks.written):
+        out = f(df, label)
+        ahead.extend([out.count()] * (label == "ahead"))
+        ahead.extend([0] * (label == "walked"))
+        return out
+
+    monkeypatch.setattr(walks, "written", written)
+    entities, reasons = store(spark, links)
+    seeds = spark.createDataFrame([("q", f"n{i}", 0.9) for i in (1, 100, 101, 102, 103, 104)], "query_id string, entity_id string, score double")
+    s = retrieval.Settings(max_expansions=8)
+    rows = retrieval.expansion(entities, reasons, [("q", [1.0, 0.0])], s, seeds, 0).where("kind = 'hit'").collect()
+    rounds = "".join("." if n else "|" for n in ahead).split("|")
+    assert len(rows) == 8 and max(len(r) for r in rounds) <= 2 and sum(ahead) <= 16
