@@ -76,9 +76,11 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     """R-07, R-08: walks of every query, each over what it reaches; a graph of at most ``read_whole`` half-edges over all
     queries, of which a task can hold one, is read at once, a larger one round by round, with the same result."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
-    if seeds is None:
-        seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
-    half, n, hubs = graph or walk_graph(reasons, s)
+    with ThreadPoolExecutor(2) as pool:  # what doesn't depend on each other shares the cluster
+        graph_coming = pool.submit(copy_context().run, lambda: graph or walk_graph(reasons, s))
+        if seeds is None:
+            seeds = written(search.vector_topk(entities, queries, s.seed_k).select("query_id", "entity_id", F.col("cosine").alias("score")))
+        half, n, hubs = graph_coming.result()
     q = F.broadcast(entities.sparkSession.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     tasks, names, matrix = entities.sparkSession.sparkContext.defaultParallelism, [str(n) for n, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
     dim = matrix.shape[1] if len(queries) else 0
