@@ -71,10 +71,26 @@ def walk_graph(reasons: DataFrame, s: Settings) -> tuple[DataFrame, int, bool]:
     return half, n, hub
 
 
+def numbered_nodes(entities: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Entities (n, entity_id, vector, known), and seeds that are none, numbered in the order of their ids, written."""
+    rows = entities.select("entity_id", "vector", F.lit(True).alias("known"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("entity_id").distinct().join(entities.select("entity_id"), "entity_id", "left_anti").select(
+            "entity_id", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("known")))
+    return written(walks.numbered(rows, "entity_id", "n"), "nodes")
+
+
+def numbered_edges(half: DataFrame) -> DataFrame:
+    """The edges of ``half`` once, numbered in the order of their ids, written."""
+    return written(walks.numbered(half.where("first").drop("first"), "reason_id", "e"), "edges")
+
+
 def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries, s: Settings, seeds: DataFrame | None = None,
-              read_whole: int = walks.WALK_WHOLE, graph: tuple[DataFrame, int, bool] | None = None) -> DataFrame:
+              read_whole: int = walks.WALK_WHOLE, graph: tuple[DataFrame, int, bool] | None = None, nodes: DataFrame | None = None,
+              edges: DataFrame | None = None) -> DataFrame:
     """R-07, R-08: walks of every query, each over what it reaches; a graph of at most ``read_whole`` half-edges over all
-    queries, of which a task can hold one, is read at once, a larger one round by round, with the same result."""
+    queries, of which a task can hold one, is read at once, a larger one round by round, with the same result. ``nodes`` and
+    ``edges`` are the numbered entities (all seeds among them) and edges, where they were written before."""
     w_content, w_reason, w_edge = ranking.MODES[s.mode]
     with ThreadPoolExecutor(2) as pool:  # what doesn't depend on each other shares the cluster
         graph_coming = pool.submit(copy_context().run, lambda: graph or walk_graph(reasons, s))
@@ -88,15 +104,15 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     whole = n <= walks.WALK_ALONE and n * len(queries) <= read_whole
     vectors = entities.select("entity_id", "vector")
     if whole:
-        lost = seeds.select("entity_id").distinct().join(vectors.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(None).cast("array<float>").alias("vector"), F.lit(False).alias("known"))
-        nodes = written(walks.numbered(vectors.withColumn("known", F.lit(True)).unionByName(lost), "entity_id", "n"), "nodes")
-        vectors = nodes.where("known").select("entity_id", "vector")
+        if nodes is None:
+            nodes = numbered_nodes(entities, seeds)
+        vectors = nodes.where("known").select("n", "entity_id", "vector")
     else:
         vectors = written(vectors, "vectors")
-    cosines = written(vectors.join(small(seeds.select("query_id", "entity_id").distinct()), "entity_id").join(q, "query_id").select(
-        "query_id", "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine")))
+    cosines = vectors.join(small(seeds.select("query_id", "entity_id").distinct()), "entity_id").join(q, "query_id").select(
+        "query_id", "n" if whole else "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"))
     if whole:
-        edges = written(walks.numbered(half.where("first").drop("first"), "reason_id", "e"), "edges")
+        edges = numbered_edges(half) if edges is None else edges
         held = nodes.where("known").select("entity_id", "n", "vector", usable.alias("ok"))
         both = edges.join(held.select(F.col("entity_id").alias("u"), F.col("n").alias("nu"), F.col("vector").alias("va"), F.col("ok").alias("ka")), "u").join(
             held.select(F.col("entity_id").alias("v"), F.col("n").alias("nv"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "v")
@@ -116,7 +132,7 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
         return out.select("query_id", "reason_id", "u", "v", "hub", F.round("cosine", 6).alias("cosine"),
                           F.round(sc.edge_evidence(F.col("mid"), F.col("score"), F.lit(0), w_reason, w_edge), 6).alias("evidence"))
 
-    return walks.expand(seeds, cosines, half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs)
+    return walks.expand(seeds, written(cosines), half.select("u", "v"), read, w_content, s.max_expansions, hubs=hubs)
 
 
 def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attractors: list, now: Column, s: Settings = Settings(),
@@ -138,39 +154,50 @@ def recall(entities: DataFrame, reasons: DataFrame, accesses: DataFrame, attract
     spark = entities.sparkSession
     hybrid = s.mode == "hybrid" and bool(texts)
     # what doesn't depend on each other shares the cluster
-    with ThreadPoolExecutor(6) as pool:
+    with ThreadPoolExecutor(7) as pool:
         run = lambda f: pool.submit(copy_context().run, f)  # noqa: E731 - a scope of steps holds in its threads too
         reasons_coming = run(lambda: written(reasons, "reasons"))
         accesses_coming = run(lambda: written(accesses, "accesses"))
         entities = written(entities, "entities")
+        nodes_coming = run(lambda: numbered_nodes(entities))
         passing = entities.where(keep).select("entity_id") if keep is not None else None
         lexical_coming = run(lambda: written(search.bm25(entities, texts, 4 * s.seed_k, passing).select("query_id", "entity_id", "score"))) if hybrid else None
         reasons, accesses = reasons_coming.result(), accesses_coming.result()
         hits_coming = run(lambda: written(dense_hits(entities, reasons, queries, s, keep)))
         important_coming = run(lambda: written(search.important(entities, accesses, queries, keep)))
-        graph_coming = run(lambda: walk_graph(reasons, s))
+
+        def graphs() -> tuple[tuple[DataFrame, int, bool], DataFrame | None]:
+            graph = walk_graph(reasons, s)
+            return graph, numbered_edges(graph[0]) if graph[1] <= walks.WALK_ALONE else None
 
         def voting() -> tuple[DataFrame, int]:
-            votes = written(walks.voting_edges(reasons, entities), "votes")
+            votes = written(walks.voting_edges(reasons, nodes_coming.result()), "votes")
             return votes, votes.count()
 
+        graph_coming = run(graphs)
+
         votes_coming = run(voting) if hybrid else None
         dense = written(pooled_seeds(hits_coming.result(), important_coming.result(), s))
         lexical = lexical_coming.result() if lexical_coming else None
-        graph, votes = graph_coming.result(), votes_coming.result() if votes_coming else None
+        (graph, edges), nodes, votes = graph_coming.result(), nodes_coming.result(), votes_coming.result() if votes_coming else None
     important = important_coming.result()
     q = F.broadcast(spark.createDataFrame([(n, [float(x) for x in v]) for n, v in queries], "query_id string, qv array<float>"))  # a bounded list
     seeds = dense
     if hybrid:
-        ppr = walks.pagerank(votes[0], dense.unionByName(lexical), s.pagerank_rounds, n_edges=votes[1]).where("rank > 0")
-        ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", "entity_id", "score")
+        names = nodes.select("entity_id", "n")
+        starts = names.join(small(dense.unionByName(lexical)), "entity_id").select("query_id", F.col("n").alias("entity_id"), "score")
+        ppr = walks.pagerank(votes[0], starts, s.pagerank_rounds, n_edges=votes[1]).where("rank > 0")
+        # numbers are in the order of the ids, which ties go by
+        ppr = vec.top_k(ppr.withColumnRenamed("rank", "score"), s.pagerank_top, "score", decimals=9).select("query_id", F.col("entity_id").alias("n"), "score")
+        ppr = ppr.join(names, "n").select("query_id", "entity_id", "score")
         fused = written(ranking.rrf([(dense, 1.0), (lexical, 1.0), (important, 0.5), (ppr, 0.5)], 2 * s.seed_k), "fused")
         texted = [n for n, _ in texts]
         fused = fused.where(F.col("query_id").isin(texted))
         cos = entities.select("entity_id", "vector").join(small(fused.select("query_id", "entity_id")), "entity_id").join(q, "query_id").select(
             "query_id", "entity_id", F.nanvl(F.round(vec.cosine(F.col("vector"), F.col("qv")), 6), F.lit(0.0)).alias("cosine"))
         seeds = written(ranking.rescore(fused, cos).unionByName(dense.where(~F.col("query_id").isin(texted))))
-    walked = expansion(entities, reasons, queries, s, seeds, graph=graph)
+    # an origin of an edge may be no entity
+    walked = expansion(entities, reasons, queries, s, seeds, graph=graph, nodes=nodes if s.mode != "reason" else None, edges=edges)
     hits = walked.where("kind = 'hit'").select("query_id", "entity_id", "score")
     pooled = written(ranking.log_sum_exp(hits.unionByName(seeds), ["query_id", "entity_id"]), "pool")
     found = entities.join(small(pooled.select("entity_id").distinct()), "entity_id", "left_semi")

@@ -59,6 +59,18 @@ def test_pagerank_at_its_defaults(spark):
     assert got == pytest.approx({f"n{i}": x for i, x in enumerate(rank)}, abs=1e-8)
 
 
+def test_pagerank_of_numbers_takes_no_rounds(spark, monkeypatch):
+    """60,000 edges and 20 queries were above the bound of edges times queries, so they were walked in written rounds."""
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(int(u) << 33, int(v) << 33, 1 + i % 3) for i, (u, v) in enumerate(sorted({(int(u), int(v)) for u, v in rng.integers(0, 40, (150, 2)) if u != v}))], "src long, dst long, w long")
+    seeds = spark.createDataFrame([(f"q{k}", (k + j) << 33, float(j - 1) * (k > 1)) for k in range(20) for j in range(4)] + [("q5", 99, 0.5)], "query_id string, entity_id long, score double")
+    got, want = ({(r.query_id, r.entity_id): r["rank"] for r in rows.collect()} for rows in (
+        walks.pagerank(edges, seeds, n_edges=60_000), walks.pagerank(edges, seeds, read_whole=0, rank_whole=0)))
+    assert len(want) > 700 and got == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(walks, "written", lambda *a: pytest.fail("a step was written"))
+    assert walks.pagerank(edges, seeds, n_edges=60_000).count() == len(want)
+
+
 def test_uniform_teleport_without_positive_seeds(spark):
     edges = spark.createDataFrame([], "src string, dst string, w int")
     seeds = spark.createDataFrame([("q", "a", -1.0), ("q", "b", 0.0)], "query_id string, entity_id string, score double")
