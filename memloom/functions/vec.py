@@ -165,6 +165,18 @@ def edge_blocks(batches: Iterator[pa.RecordBatch], names: list[str], queries: np
     :func:`edge_cosines` and ``scalars.edge_evidence``. A block holds, one after the other, e, u and v as 64-bit integers and the
     evidence, u's cosine and v's cosine in millionths as 32-bit ones (an undefined cosine as NO_COSINE), so that what is
     shuffled is a few rows of numbers."""
+    for numbers, scores in _edge_scores(batches, queries, w_reason, w_edge):
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([numbers + x for x in scores], pa.binary())], ["query_id", "block"])
+
+
+def shared_edge_blocks(batches: Iterator[pa.RecordBatch], queries: np.ndarray, w_reason: float, w_edge: float) -> Iterator[pa.RecordBatch]:
+    """As :func:`edge_blocks`, but a row (block, scores) for each batch: the numbers once and the scores of each query."""
+    for numbers, scores in _edge_scores(batches, queries, w_reason, w_edge):
+        yield pa.RecordBatch.from_arrays([pa.array([numbers], pa.binary()), pa.array([scores], pa.list_(pa.binary()))], ["block", "scores"])
+
+
+def _edge_scores(batches: Iterator[pa.RecordBatch], queries: np.ndarray, w_reason: float, w_edge: float) -> Iterator[tuple[bytes, list[bytes]]]:
+    """The two parts of the blocks of each batch: numbers, and scores of each query."""
     norms, dim = np.linalg.norm(queries, axis=1), queries.shape[1]
     for batch in batches:
         if not batch.num_rows:
@@ -176,14 +188,14 @@ def edge_blocks(batches: Iterator[pa.RecordBatch], names: list[str], queries: np
         score = np.asarray(batch.column(3).cast(pa.float64()).fill_null(0.0))
         strength = np.where(np.isnan(score), 1.0, np.clip(score, 0.0, 1.0))  # a NaN counts as the greatest
         numbers = [np.asarray(batch.column(i)).astype(np.int64).tobytes() for i in (0, 1, 2)]
-        blocks = []
+        scores = []
         for q, size in zip(queries, norms):
             near = [np.divide(x @ q, n * size, out=np.zeros(len(x)), where=n * size > 0) for x, n in zip(ends, sizes)]
             for cos, (at, held) in zip(near, odd):
                 cos[at] = [_odd_cosine(x, q) for x in held]
             evidence = w_reason * near[2] + w_edge * strength
-            blocks.append(b"".join([*numbers, *[np.round(np.nan_to_num(x, nan=NO_COSINE) * 1e6).astype(np.int32).tobytes() for x in (evidence, near[0], near[1])]]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(blocks, pa.binary())], ["query_id", "block"])
+            scores.append(b"".join([np.round(np.nan_to_num(x, nan=NO_COSINE) * 1e6).astype(np.int32).tobytes() for x in (evidence, near[0], near[1])]))
+        yield b"".join(numbers), scores
 
 
 def edges_of_blocks(blocks) -> list[np.ndarray]:

@@ -103,22 +103,40 @@ def expansion(entities: DataFrame, reasons: DataFrame, queries: search.Queries,
     usable = (F.size("vector") == dim) & vec.usable(F.col("vector"))
     whole = n <= walks.WALK_ALONE and n * len(queries) <= read_whole
     vectors = entities.select("entity_id", "vector")
-    if whole:
-        if nodes is None:
-            nodes = numbered_nodes(entities, seeds)
+    by_number = whole or not hubs
+    if by_number:
+        nodes = numbered_nodes(entities, seeds) if nodes is None else nodes
         vectors = nodes.where("known").select("n", "entity_id", "vector")
     else:
         vectors = written(vectors, "vectors")
     cosines = vectors.join(small(seeds.select("query_id", "entity_id").distinct()), "entity_id").join(q, "query_id").select(
-        "query_id", "n" if whole else "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"))
-    if whole:
+        "query_id", "n" if by_number else "entity_id", F.round(vec.cosine(F.col("vector"), F.col("qv")), 6).alias("cosine"))
+    if by_number:
         edges = numbered_edges(half) if edges is None else edges
         held = nodes.where("known").select("entity_id", "n", "vector", usable.alias("ok"))
+    if whole:
         both = edges.join(held.select(F.col("entity_id").alias("u"), F.col("n").alias("nu"), F.col("vector").alias("va"), F.col("ok").alias("ka")), "u").join(
             held.select(F.col("entity_id").alias("v"), F.col("n").alias("nv"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "v")
         blocks = both.select("e", "nu", "nv", "score", "va", "vb", "ka", "kb").mapInArrow(
             lambda it: vec.edge_blocks(it, names, matrix, w_reason, w_edge), "query_id string, block binary")
         return walks.expand_whole(seeds, cosines, nodes, edges, blocks, w_content, s.max_expansions)
+    if not hubs:
+        u, v = (held.select(F.col("entity_id").alias(end), F.col("n").alias(f"n{end}")) for end in "uv")
+        links = written(edges.join(u, "u").join(v, "v").select("e", "nu", "nv", "score"), "links")
+
+        def scored(links: DataFrame, part: list[str]) -> DataFrame:
+            """Blocks of ``links``. Vectors are read for their ends only."""
+            at = [names.index(n) for n in part]
+            both = links.join(held.select(F.col("n").alias("nu"), F.col("vector").alias("va"), F.col("ok").alias("ka")), "nu").join(
+                held.select(F.col("n").alias("nv"), F.col("vector").alias("vb"), F.col("ok").alias("kb")), "nv")
+            return both.select("e", "nu", "nv", "score", "va", "vb", "ka", "kb").mapInArrow(
+                lambda it: vec.shared_edge_blocks(it, matrix[at], w_reason, w_edge), "block binary, scores array<binary>")
+
+        # what a round reads for queries that share it is about what a task may hold
+        mean = -(-n // max(1, nodes.count()))
+        together = max(1, min(walks.TOGETHER, walks.WALK_ALONE // max(1, s.max_expansions * mean)))
+        return walks.expand(seeds, cosines, half, scored, w_content, s.max_expansions, hubs=False,
+                            near={"queries": names, "nodes": nodes, "edges": edges, "links": links, "together": together})
 
     def read(front: DataFrame) -> DataFrame:
         """Half-edges from ``front(query_id, entity_id)``, to known entities. Vectors are read for their ends only."""

@@ -282,6 +282,31 @@ def test_whole_and_rounds_agree(spark, monkeypatch):
     assert retrieval.expansion(entities, reasons, queries, s, seeds, graph=graph).count() and len(read) == 2
 
 
+def test_rounds_read_an_edge_once_for_all_queries(spark, monkeypatch):
+    """Rounds gave every query its own rows of what it read; together or one by one, hits and chains are those of the whole graph."""
+    links = [(f"n{i:03}", f"n{(i * 7 + k) % 60:03}") for i in range(60) for k in (1, 5)]
+    entities, reasons = store(spark, links)
+    queries = [(f"q{k}", [1.0, 0.1 * k]) for k in range(5)]
+    seeds = spark.createDataFrame([(q, f"n{k:03}", 0.5) for k, (q, _) in enumerate(queries)], "query_id string, entity_id string, score double")
+    rows = []
+
+    def written(df, label="step", f=walks.written):
+        out = f(df, label)
+        rows.extend([out.count()] * (label == "edges"))
+        return out
+
+    got = []
+    for together, whole in ((64, 0), (2, 0), (64, walks.WALK_WHOLE)):
+        monkeypatch.setattr(walks, "TOGETHER", together)
+        if not whole:
+            monkeypatch.setattr(walks, "written", written)
+        walked = retrieval.expansion(entities, reasons, queries, retrieval.Settings(max_expansions=20), seeds, whole).where("kind <> 'open'").collect()
+        got.append({(r.query_id, r.kind, r.entity_id, tuple(r.nodes), r.chain_no): r.score for r in walked})
+        if together == 64 and not whole:
+            assert rows and sum(rows) <= len(links)
+    assert got[0] == pytest.approx(got[2], abs=2e-6) and got[1] == pytest.approx(got[2], abs=2e-6) and len(got[2]) > 100
+
+
 def test_hops_ahead_end_with_room(spark, monkeypatch):
     """A round reads ahead as many entities as a walk may pop, not that many for each of ever more hops."""
     links = [(f"n{i}", f"n{c}") for i in range(1, 200) for c in (2 * i, 2 * i + 1)]
