@@ -89,3 +89,23 @@ def test_sections_and_lexical_weight(spark):
     assert set(plain) == {"e0", "e2", "e3"} and plain[0] != "e0"
     lifted = [x.entity_id for x in retrieval.retrieve(e, r, a, g, F.current_timestamp(), retrieval.Settings(lexical_weight=5.0)).orderBy("rank").collect()]
     assert lifted[0] == "e0" and set(lifted) == set(plain)
+
+
+def test_filtered_recall_ranks_without_rounds(spark, monkeypatch):
+    """A graph above 2^20 edges times queries was ranked in written rounds, with filters too."""
+    from pyspark.sql import Row
+
+    from memloom.operators import walks
+
+    rows = [(f"e{i}", "kern-1", "fact" if i % 2 else "claim", "active", f"zebra number {i}", [1.0, 0.1 * i], None, 2.0, 1.0, 0.6, None, None, None) for i in range(6)]
+    e = spark.createDataFrame(rows, "entity_id string, kern_id string, kind string, status string, text string, vector array<float>, gnn_vector array<float>, conf_alpha double, "
+                                    "conf_beta double, score double, accessed_at timestamp, created_at timestamp, valid_until timestamp")
+    r = spark.createDataFrame([(f"r{i}", "kern-1", f"e{i}", f"e{i + 1}", None, 0, 0.9, None) for i in range(5)],
+                              "reason_id string, kern_id string, from_id string, to_id string, to_net_id string, kind int, score double, text string")
+    a = spark.createDataFrame([], "entity_id string, access_count long")
+    labels = []
+    monkeypatch.setattr(walks, "written", lambda df, label="step", f=walks.written: labels.append(label) or f(df, label))
+    monkeypatch.setattr(walks, "pagerank", lambda *x, f=walks.pagerank, **k: f(*x, **k | {"n_edges": (1 << 20) + 1}))
+    g = [Row(kern_id="q", graviton_vec=[0.0, 1.0], graviton_text="zebra", mass=0.0)]
+    got = retrieval.retrieve(e, r, a, g, F.current_timestamp(), options=filters.QueryOptions(kind="fact")).collect()
+    assert {x.entity_id for x in got} == {"e1", "e3", "e5"} and "walked" in labels and "powers" not in labels
